@@ -45,11 +45,12 @@ def chunks(sizes: list[int], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, in
         yield lo, len(sizes)
 
 
-def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], list[pa.Array]]], schema: str) -> DataFrame:
+def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], list[pa.Array]]], schema: str, keyed: bool = False) -> DataFrame:
     """(doc_id, text) -> (doc_id, *schema), row by row in place; no shuffle.
 
     ``make()`` runs once in each task and returns the function that turns a list
-    of texts into one Arrow array per column of ``schema``.
+    of texts (``keyed``: of (doc_id, text) pairs) into one Arrow array per column
+    of ``schema``.
     """
 
     def run(batches):
@@ -59,6 +60,8 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], list[pa.Ar
             sizes = pa.compute.binary_length(texts).to_pylist()
             for lo, hi in chunks(sizes):
                 part = texts.slice(lo, hi - lo).to_pylist()
+                if keyed:
+                    part = list(zip(ids.slice(lo, hi - lo).to_pylist(), part, strict=True))
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), *fn(part)], names=names)
 
     import pyarrow.compute  # noqa: F401  (pa.compute)

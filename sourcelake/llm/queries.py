@@ -5,13 +5,20 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sourcelake.llm import token_counts
+from sourcelake.llm import sampled_pieces, token_counts
 from sourcelake.llm.common import table
 
 
+def op6_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampled_pieces.sampled_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {"op10_token_counts": op10_token_counts}
+QUERIES = {
+    "op6_sampled_pieces": op6_sampled_pieces,
+    "op10_token_counts": op10_token_counts,
+}
 ORACLES: dict[str, str] = {}
