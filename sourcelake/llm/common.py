@@ -101,3 +101,21 @@ def new_path(spark: SparkSession, what: str) -> str:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def keep_rows(df: DataFrame, text_col: str, make: Callable[[], Callable[[list[str]], list[bool]]]) -> DataFrame:
+    """The rows of ``df``, all columns as they are, whose text passes; in place, no shuffle."""
+    at = df.columns.index(text_col)
+
+    def run(batches):
+        fn = make()
+        for batch in batches:
+            texts = batch.column(at)
+            sizes = [n or 0 for n in pa.compute.binary_length(texts).to_pylist()]
+            for lo, hi in chunks(sizes):
+                part = [t or "" for t in texts.slice(lo, hi - lo).to_pylist()]
+                yield batch.slice(lo, hi - lo).filter(pa.array(fn(part), pa.bool_()))
+
+    import pyarrow.compute  # noqa: F401
+
+    return df.mapInArrow(run, df.schema)
