@@ -1,6 +1,6 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes.
 
-A text's features are the distinct hashed character 3- to 5-grams of its
+A text's features are the distinct hashed character 4- to 7-grams of its
 lower-cased words, each worth the log-count ratio of its bucket between toxic
 and other labelled texts, scaled to unit length.  A logistic regression is fit
 on them by full gradient steps: each step is a Spark job in which every
@@ -16,27 +16,32 @@ from pyspark.sql import functions as F
 
 from sourcelake.llm.common import cut, id_text, in_parts, keep_rows, map_texts
 
-BITS = 18
-GRAMS = (3, 4, 5)
+BITS = 19
+GRAMS = (4, 5, 6, 7)
 #: Labelled rows that a fit uses: about so many, chosen by a hash of the key (all, if there are fewer).
 SAMPLE_ROWS = 8_000
-#: A bucket is a feature if its log-count ratio times the root of its count reaches this.
-LEAST_WEIGHT = 3.0
-STEPS = 40
+#: A bucket is a feature if its log-count ratio times the root of its count reaches this
+#: (few labelled rows: if it is among the FEWEST highest).
+LEAST_WEIGHT = 7.0
+FEWEST = 2_000
+STEPS = 60
+SHRINK = 1e-4
 PARTS = 12
 U64 = np.uint64
 
 
 def buckets(text: str) -> np.ndarray:
     """The distinct buckets of a text, ascending."""
-    b = np.frombuffer((" " + " ".join(text.lower().split()) + " ").encode(), dtype=np.uint8).astype(U64)
-    if len(b) < 3:
+    b = np.frombuffer((" " + " ".join(text.lower().split()) + " ").encode("utf-32-le"), dtype=np.uint32).astype(U64)
+    if len(b) < min(GRAMS):
         return np.zeros(0, dtype=np.int32)
     seen = np.zeros(1 << BITS, dtype=bool)
     code = b
     for n in range(2, max(GRAMS) + 1):
-        code = code[:-1] * U64(257) + b[n - 1 :]
-        if n in GRAMS and len(code):
+        if len(b) < n:
+            break
+        code = code[:-1] * U64(1_000_003) + b[n - 1 :]
+        if n in GRAMS:
             seen[((code + U64(n)) * U64(0x9E3779B97F4A7C15)) >> U64(64 - BITS)] = True
     return np.flatnonzero(seen).astype(np.int32)
 
@@ -86,7 +91,8 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     n, pos = np.zeros(size), np.zeros(size)
     n[counts["b"]], pos[counts["b"]] = counts["n"], counts["pos"]
     ratio = np.log((pos + 1) / (n1 + 1)) - np.log((n - pos + 1) / (n0 + 1))
-    ratio[np.abs(ratio) * np.sqrt(n) < LEAST_WEIGHT] = 0
+    strength = np.abs(ratio) * np.sqrt(n)
+    ratio[strength < min(LEAST_WEIGHT, np.partition(strength, -FEWEST)[-FEWEST])] = 0
     used = np.flatnonzero(ratio)
     place = np.full(size, -1, dtype=np.int32)
     place[used] = np.arange(len(used))
@@ -96,7 +102,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     scale = ratio[used]
     for step in range(1, STEPS + 1):
         parts = sample.mapInArrow(gradient_of(scale, w, b), "g binary, gb double").collect()  # one row a partition
-        g = sum((np.frombuffer(r[0]) for r in parts), np.zeros(len(used))) / (n0 + n1) + 1e-6 * w
+        g = sum((np.frombuffer(r[0]) for r in parts), np.zeros(len(used))) / (n0 + n1) + SHRINK * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w = w - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
         b -= 0.3 * sum(r[1] for r in parts) / (n0 + n1)
