@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sourcelake.llm import decontaminate, sampled_pieces, token_counts, toxicity
+from sourcelake.llm import decontaminate, sampled_pieces, simhash, token_counts, toxicity
 from sourcelake.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op6_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampled_pieces.sampled_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -28,6 +32,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op6_sampled_pieces": op6_sampled_pieces,
+    "op7_simhash": op7_simhash,
     "op8_decontaminate": op8_decontaminate,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
