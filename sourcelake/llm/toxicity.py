@@ -77,17 +77,18 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * SAMPLE_ROWS / there))
     # about SAMPLE_ROWS keys at most, so a broadcast; texts stay where they are
     texts = id_text(df, id_col, text_col).join(F.broadcast(known), "doc_id")
-    made = map_texts(texts.select(F.col("y").cast("long").alias("doc_id"), "text"), lambda: lambda part: [pa.array([buckets(t) for t in part], pa.list_(pa.int32()))], "found array<int>")
-    rows = cut(made.withColumnRenamed("doc_id", "y").repartition(PARTS, F.xxhash64("found")))
-    totals = dict(rows.groupBy("y").count().collect())
-    n0, n1 = totals.get(0, 0), totals.get(1, 0)
+    # a row for each bucket at most; bucket -1 counts the texts
+    counts = texts.select("y", "text").mapInArrow(counted, "b int, n long, pos long").groupBy("b").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).toPandas()
+    whole = counts[counts["b"] < 0]
+    n1 = int(whole["pos"].sum())
+    n0 = int(whole["n"].sum()) - n1
     size = 1 << BITS
     ratio, weight = np.zeros(size), np.zeros(size)
     share = n1 / (n0 + n1) if n0 + n1 else 0.0
     bias = float(np.log((share + 1e-12) / (1 - share + 1e-12)))
     if not n0 or not n1:
         return Model(ratio, weight, bias)
-    counts = rows.select("y", F.explode("found").alias("b")).groupBy("b").agg(F.count("y").alias("n"), F.sum("y").alias("pos")).toPandas()  # a row for each bucket at most
+    counts = counts[counts["b"] >= 0]
     n, pos = np.zeros(size), np.zeros(size)
     n[counts["b"]], pos[counts["b"]] = counts["n"], counts["pos"]
     ratio = np.log((pos + 1) / (n1 + 1)) - np.log((n - pos + 1) / (n0 + 1))
@@ -97,7 +98,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     place = np.full(size, -1, dtype=np.int32)
     place[used] = np.arange(len(used))
     # the sample's features as positions among those in use
-    sample = cut(rows.mapInArrow(lambda batches: narrowed(batches, place), "y long, found array<int>"))
+    sample = cut(texts.select("y", "text").mapInArrow(lambda batches: narrowed(batches, place), "y int, found array<int>").repartition(PARTS, F.xxhash64("found")))
     w, b, m, v = np.zeros(len(used)), bias, np.zeros(len(used)), np.zeros(len(used))
     scale = ratio[used]
     for step in range(1, STEPS + 1):
@@ -110,12 +111,26 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     return Model(ratio.astype(np.float32), weight.astype(np.float32), b)
 
 
+def counted(batches):
+    """Labelled texts, and toxic ones, that have each bucket, summed over a partition."""
+    n, pos, rows, toxic = np.zeros(1 << BITS, dtype=np.int64), np.zeros(1 << BITS, dtype=np.int64), 0, 0
+    for batch in batches:
+        for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            found = buckets(text)
+            n[found] += 1
+            pos[found] += y
+            rows, toxic = rows + 1, toxic + y
+    at = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at], pa.int32()), pa.array(np.r_[rows, n[at]]), pa.array(np.r_[toxic, pos[at]])], names=["b", "n", "pos"])
+
+
 def narrowed(batches, place: np.ndarray):
     for batch in batches:
-        at, flat = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy()
-        flat = place[flat[at[0] : at[-1]]]
-        kept = np.r_[0, np.cumsum(flat >= 0)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(kept[at - at[0]], pa.int32()), pa.array(flat[flat >= 0]))], names=["y", "found"])
+        found = []
+        for text in batch.column(1).to_pylist():
+            at = place[buckets(text)]
+            found.append(at[at >= 0])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["y", "found"])
 
 
 def gradient_of(scale: np.ndarray, w: np.ndarray, b: float):
