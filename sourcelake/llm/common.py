@@ -12,7 +12,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Characters that a Python task holds in decoded form at a time (a longer text is a chunk of its own).
@@ -119,3 +119,38 @@ def keep_rows(df: DataFrame, text_col: str, make: Callable[[], Callable[[list[st
     import pyarrow.compute  # noqa: F401
 
     return df.mapInArrow(run, df.schema)
+
+
+def sha(text: Column) -> Column:
+    """Lowercase hex sha256 of a text in UTF-8, null as empty."""
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """``df`` through a table in the shared folder: Spark knows its size when it plans what reads it."""
+    path = new_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def one_of_each(df: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``df`` that stay, all columns as they are.
+
+    ``rows`` has (doc_id, sha, copies, stays), a row for each distinct key; of
+    repeated rows with a key that stays, one is kept.  The list of keys to drop is
+    written first, so Spark broadcasts it only if it is under its threshold; the
+    texts are shuffled only beyond that.
+    """
+    drop = written(rows.where("not stays").select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha")), "dropped")
+    twins = written(rows.where("stays and copies > 1").select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha")), "twins")
+
+    def same(keys: DataFrame) -> Column:
+        return df[id_col].cast("long").eqNullSafe(keys["_id"]) & (sha(df[text_col]) == keys["_sha"])
+
+    kept = df.join(drop, same(drop), "left_anti")
+    if twins.isEmpty():
+        return kept
+    single = df.join(twins, same(twins), "left_semi")
+    at = F.row_number().over(Window.partitionBy(single[id_col], sha(single[text_col])).orderBy(F.lit(1)))
+    named = single.select(*[single[c].alias(f"c{i}") for i, c in enumerate(df.columns)], at.alias("at")).where("at = 1")
+    return kept.join(twins, same(twins), "left_anti").unionAll(named.drop("at").toDF(*df.columns))

@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sourcelake.llm import decontaminate, sampled_pieces, simhash, token_counts, toxicity
+from sourcelake.llm import decontaminate, exact_dedup, sampled_pieces, simhash, token_counts, toxicity
 from sourcelake.llm.common import table
 
 
+def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampled_pieces.sampled_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -31,10 +35,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
     "op6_sampled_pieces": op6_sampled_pieces,
     "op7_simhash": op7_simhash,
     "op8_decontaminate": op8_decontaminate,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
 }
-ORACLES: dict[str, str] = {}
+
+#: Null text counts as empty; equal texts form a group, and the largest doc_id stays.
+OP1_SQL = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY body)
+SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.body) AS text_sha256
+FROM t JOIN g ON t.body = g.body
+"""
+
+ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL}

@@ -14,6 +14,7 @@ those that visit.  Every link is found, with no cap on any anchor.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 
 import numpy as np
@@ -54,12 +55,15 @@ def fingerprint(text: str, words: int = 3) -> int:
 
 
 def fingerprints(df: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint's bits as a signed long."""
+    """(doc_id, fp, sha): the fingerprint's bits as a signed long, and the text's digest."""
 
     def make():
-        return lambda texts: [pa.array(np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).view(np.int64))]
+        return lambda texts: [
+            pa.array(np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).view(np.int64)),
+            pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string()),
+        ]
 
-    return map_texts(id_text(df, id_col, text_col), make, "fp long")
+    return map_texts(id_text(df, id_col, text_col), make, "fp long, sha string")
 
 
 def home(fp: Column) -> Column:
@@ -100,7 +104,7 @@ def linked(prints: DataFrame) -> DataFrame:
 
 
 def grouped(df: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id): the smallest doc_id reachable over links, itself included.
+    """(doc_id, sha, fp, component_id): the smallest doc_id reachable over links, itself included.
 
     Null, empty and wordless texts share fingerprint 0.  Rows map one to one: a
     repeated row is linked to its twin; a row with a null id stays, and its
@@ -113,8 +117,8 @@ def grouped(df: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str
     roots = components(linked(first))
     of_fp = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = of_fp.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = cut(of_fp.join(smallest, "root").select("fp", "component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = cut(of_fp.join(smallest, "root").select("fp", "root", "component_id"))
+    return prints.join(named, "fp").select("doc_id", "sha", "fp", "root", "component_id")
 
 
 def near_duplicates(df: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -122,6 +126,15 @@ def near_duplicates(df: DataFrame, words: int = 3, id_col: str = "doc_id", text_
     return grouped(df, words, id_col, text_col).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def drop_near_duplicates(df: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group, all columns as they are: that with the smallest id (then digest; null ids last)."""
+    rows = cut(grouped(df, words, id_col, text_col).groupBy("root", "doc_id", "sha").agg(F.count(F.lit(1)).alias("copies")))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("sha"))
+    best = cut(rows.groupBy("root").agg(F.min(rank).alias("best")))
+    stays = F.col("doc_id").eqNullSafe(F.col("best")["doc_id"]) & (F.col("sha") == F.col("best")["sha"])
+    return one_of_each(df, rows.join(best, "root").select("doc_id", "sha", "copies", stays.alias("stays")), id_col, text_col)
+
+
 def masks() -> list[int]:
     """All differences of at most two bits (for tests)."""
     return [0, *(1 << i for i in range(64)), *((1 << i) | (1 << j) for i, j in itertools.combinations(range(64), 2))]
