@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sourcelake.llm import context_tree, decontaminate, exact_dedup, html_text, sampled_pieces, simhash, token_counts, toxicity
+from sourcelake.llm import context_tree, decontaminate, exact_dedup, html_text, sampled_pieces, simhash, token_counts, token_files, toxicity
 from sourcelake.llm.common import table
 
 
@@ -17,6 +17,11 @@ def op3_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.score(table(spark, sf_dir, "documents"))
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_files.read(spark, files)
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -45,6 +50,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_context_tree": op3_context_tree,
+    "op4_token_files": op4_token_files,
     "op5_html_text": op5_html_text,
     "op6_sampled_pieces": op6_sampled_pieces,
     "op7_simhash": op7_simhash,
