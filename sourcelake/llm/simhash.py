@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sourcelake.llm.common import cut, id_text, map_texts
+from sourcelake.llm.common import cut, id_text, map_texts, one_of_each
 from sourcelake.llm.components import components
 
 #: Odd lengths that add up to 64; more and shorter groups: more anchors, fewer visitors each, more replicas.
