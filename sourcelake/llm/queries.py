@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sourcelake.llm import context_tree, decontaminate, exact_dedup, html_text, sampled_pieces, simhash, token_counts, token_files, toxicity
+from sourcelake.llm import chat, context_tree, decontaminate, exact_dedup, html_text, sampled_pieces, simhash, token_counts, token_files, toxicity
 from sourcelake.llm.common import table
 
 
@@ -13,6 +13,15 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.sql(
+        "SELECT -1L AS conv_id, 0L AS turn, 'user' AS role, '</s>[INST] ok [/INST]' AS text "
+        "UNION ALL SELECT -1L, 1L, 'assistant', '</s>[INST] ok [/INST]'"
+    )
+    return chat.digests(chat.format_chats(chats.unionByName(probe)))
+
+
 def op3_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.score(table(spark, sf_dir, "documents"))
 
@@ -49,6 +58,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_chat": op2_chat,
     "op3_context_tree": op3_context_tree,
     "op4_token_files": op4_token_files,
     "op5_html_text": op5_html_text,
@@ -67,4 +77,25 @@ SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t
 FROM t JOIN g ON t.body = g.body
 """
 
-ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL}
+#: formatted_chars: fixed marks of a turn, and one more character for each escaped control string or backslash.
+OP2_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), m AS (
+  SELECT *, role = 'assistant' AS learnt, length(text)
+    + (length(text) - length(replace(text, '\', '')))
+    + len(regexp_extract_all(text, '<s>|</s>|\[INST\]|\[/INST\]|\[ROLE\]|\[/ROLE\]|\[/TEXT\]'))
+    + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 5 ELSE 23 + length(role) END AS chars
+  FROM t
+), g AS (
+  SELECT conv_id, count(*) AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS told,
+    coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (learnt), '') AS loss,
+    sum(chars)::BIGINT AS formatted_chars
+  FROM m GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
+"""
+
+ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op2_chat": OP2_SQL}
