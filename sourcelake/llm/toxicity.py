@@ -24,7 +24,7 @@ SAMPLE_ROWS = 8_000
 #: (few labelled rows: if it is among the FEWEST highest).
 LEAST_WEIGHT = 7.0
 FEWEST = 2_000
-STEPS = 60
+STEPS = 40
 SHRINK = 1e-4
 PARTS = 12
 U64 = np.uint64
@@ -78,19 +78,19 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     # about SAMPLE_ROWS keys at most, so a broadcast; texts stay where they are
     texts = id_text(df, id_col, text_col).join(F.broadcast(known), "doc_id")
     # a row for each bucket at most; bucket -1 counts the texts
-    counts = texts.select("y", "text").mapInArrow(counted, "b int, n long, pos long").groupBy("b").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).toPandas()
-    whole = counts[counts["b"] < 0]
-    n1 = int(whole["pos"].sum())
-    n0 = int(whole["n"].sum()) - n1
+    counts = texts.select("y", "text").mapInArrow(counted, "b int, n long, pos long").groupBy("b").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).toArrow()
+    b, n_of, pos_of = (counts.column(k).to_numpy() for k in range(3))
+    n1 = int(pos_of[b < 0].sum())
+    n0 = int(n_of[b < 0].sum()) - n1
     size = 1 << BITS
     ratio, weight = np.zeros(size), np.zeros(size)
     share = n1 / (n0 + n1) if n0 + n1 else 0.0
     bias = float(np.log((share + 1e-12) / (1 - share + 1e-12)))
     if not n0 or not n1:
         return Model(ratio, weight, bias)
-    counts = counts[counts["b"] >= 0]
     n, pos = np.zeros(size), np.zeros(size)
-    n[counts["b"]], pos[counts["b"]] = counts["n"], counts["pos"]
+    n[b[b >= 0]], pos[b[b >= 0]] = n_of[b >= 0], pos_of[b >= 0]
+    del counts, b, n_of, pos_of
     ratio = np.log((pos + 1) / (n1 + 1)) - np.log((n - pos + 1) / (n0 + 1))
     strength = np.abs(ratio) * np.sqrt(n)
     ratio[strength < min(LEAST_WEIGHT, np.partition(strength, -FEWEST)[-FEWEST])] = 0
@@ -98,7 +98,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     place = np.full(size, -1, dtype=np.int32)
     place[used] = np.arange(len(used))
     # the sample's features as positions among those in use
-    sample = cut(texts.select("y", "text").mapInArrow(lambda batches: narrowed(batches, place), "y int, found array<int>").repartition(PARTS, F.xxhash64("found")))
+    sample = cut(texts.select("y", "text").mapInArrow(lambda batches: narrowed(batches, place), "y int, found array<int>").repartition(PARTS))
     w, b, m, v = np.zeros(len(used)), bias, np.zeros(len(used)), np.zeros(len(used))
     scale = ratio[used]
     for step in range(1, STEPS + 1):
