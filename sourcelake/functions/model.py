@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Severities and categories.
 ERROR, WARNING, INFO = "ERROR", "WARNING", "INFO"
 SEVERITY_ORDER = {INFO: 0, WARNING: 1, ERROR: 2}
 
@@ -64,4 +65,4 @@ def severity_order(col: Column) -> Column:
 
 def findings(files: DataFrame, issues: Column) -> DataFrame:
     """Explode a per-file issue array into finding rows (narrow, no shuffle)."""
-    return files.select("path", F.inline(issues)).select(*FINDING_COLUMNS)
+    return files.select("path", F.inline_outer(issues)).where(F.col("severity").isNotNull()).select(*FINDING_COLUMNS)

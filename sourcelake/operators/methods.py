@@ -25,16 +25,15 @@ NOT_DECLARING = ("//", "/*", "*", "import ", "package ", "from ", "using ")
 INDENT_LANGUAGES = ("python", "ruby")
 
 _NAME = r"([A-Za-z_]\w*)"
-# A declaration is a name with a parameter list after a type, modifier or keyword;
-# then the forms with their own keyword.
+# A declaration is a name with a parameter list after a type, modifier
+# or keyword; then the forms with their own keyword.
 DECLARATIONS = (
-    (rf"[A-Za-z_<>\[\]?,\s]\s+{_NAME}\s*\(([^)]*)\)", True),
-    (rf"def\s+{_NAME}\s*\(([^)]*)\)\s*(?:->.*)?:", True),
-    (rf"func\s+(?:\([^)]*\)\s+)?{_NAME}\s*\(([^)]*)\)", True),
-    (r"def\s+([A-Za-z_]\w*[?!]?)\s*(?:\(([^)]*)\))?", True),
-    (rf"fn\s+{_NAME}\s*(?:<[^>]*>)?\s*\(([^)]*)\)", True),
-    (rf"func\s+{_NAME}\s*\(([^)]*)\)", True),
-    (rf"function\s+{_NAME}\s*\(([^)]*)\)", True),
+    rf"[A-Za-z_<>\[\]?,\s]\s+{_NAME}\s*\(([^)]*)\)",
+    rf"def\s+{_NAME}\s*\(([^)]*)\)\s*(?:->.*)?:",
+    rf"func\s+(?:\([^)]*\)\s+)?{_NAME}\s*\(([^)]*)\)",
+    r"def\s+([A-Za-z_]\w*[?!]?)\s*(?:\(([^)]*)\))?",
+    rf"fn\s+{_NAME}\s*(?:<[^>]*>)?\s*\(([^)]*)\)",
+    rf"function\s+{_NAME}\s*\(([^)]*)\)",
 )
 
 
@@ -42,7 +41,7 @@ def declaration(line: Column) -> Column:
     """struct<name, params> of the method a trimmed line declares, or null."""
     skipped = tx.starts_any(line, NOT_DECLARING)
     options = []
-    for pattern, _ in DECLARATIONS:
+    for pattern in DECLARATIONS:
         name = tx.extract(line, pattern, 1)
         options.append(
             F.when((name != "") & ~name.isin(*NOT_METHODS), F.struct(name.alias("name"), tx.extract(line, pattern, 2).alias("params")))
@@ -64,11 +63,8 @@ def mask_strings(line: Column) -> Column:
 
     The opening quote stays so that positions keep their meaning.
     """
-    blanked = F.regexp_replace(
-        line,
-        r"""(?<!\\)"(?:[^"]|(?<=\\)")*(?:(?<!\\)"|\z)|(?<!\\)'(?:[^']|(?<=\\)')*(?:(?<!\\)'|\z)""",
-        '""',
-    )
+    plain = F.regexp_replace(line, r"(?<=\\)[\"']", "_")  # an escaped quote is no quote
+    blanked = F.regexp_replace(plain, r"""\"[^\"]*+(?:\"|\z)|'[^']*+(?:'|\z)""", '""')
     return F.when(line.contains('"') | line.contains("'"), blanked).otherwise(line)
 
 
@@ -97,30 +93,41 @@ def nesting_word(line: Column) -> Column:
 
 def line_scores(lines: Column) -> Column:
     """array<struct> of what methods need per line, computed once per file."""
-    def score(l, i):
+    words = {name: _word("(?:" + "|".join(w) + ")") for name, w in (("nest", NESTING_WORDS), ("flat", FLAT_WORDS))}
+
+    def read(l):
         t = tx.trim(l)
-        low = mask_strings(F.lower(t))
-        skip = (t == "") | tx.starts_any(t, ("//", "#", "*"))
-        nesting_only = low.rlike(_word("try"))
-        nests = ~nesting_only & nesting_word(low)
-        flat = ~nesting_only & ~nests & low.rlike(_word("(?:" + "|".join(FLAT_WORDS) + ")"))
+        return F.struct(l.alias("l"), t.alias("t"), mask_strings(F.lower(t)).alias("low"))
+
+    def judge(x):
+        skip = (x["t"] == "") | tx.starts_any(x["t"], ("//", "#", "*"))
+        return F.struct(
+            x["l"].alias("l"), x["t"].alias("t"), x["low"].alias("low"), skip.alias("skip"),
+            x["low"].rlike(_word("try")).alias("tries"), x["low"].rlike(words["nest"]).alias("nests"),
+            x["low"].rlike(words["flat"]).alias("flat"),
+        )
+
+    def score(x, i):
+        nests = ~x["tries"] & x["nests"]
+        flat = ~x["tries"] & ~nests & x["flat"]
         return F.struct(
             (i + 1).cast("int").alias("n"),
-            declaration(t).alias("decl"),
-            tx.count_of(l, "{").alias("opens"),
-            tx.count_of(l, "}").alias("closes"),
-            tx.brace_low(l).alias("low"),
-            (t == "").alias("blank"),
-            tx.indent(l).alias("indent"),
-            branch_points(low).alias("branches"),
-            F.when(~skip & nests, 1).otherwise(0).alias("nest_hit"),
-            F.when(skip, 0).otherwise(
-                flat.cast("int") + _occurrences(low, "&&") + _occurrences(low, "||")
+            declaration(x["t"]).alias("decl"),
+            tx.count_of(x["l"], "{").alias("opens"),
+            tx.count_of(x["l"], "}").alias("closes"),
+            tx.brace_low(x["l"]).alias("low"),
+            (x["t"] == "").alias("blank"),
+            tx.indent(x["l"]).alias("indent"),
+            branch_points(x["low"]).alias("branches"),
+            F.when(~x["skip"] & nests, 1).otherwise(0).alias("nest_hit"),
+            F.when(x["skip"], 0).otherwise(
+                flat.cast("int") + _occurrences(x["low"], "&&") + _occurrences(x["low"], "||")
             ).alias("flat_hit"),
-            skip.alias("skip"),
+            x["skip"].alias("skip"),
         )
 
-    return F.transform(lines, score)
+    # staged, because a lambda evaluates each mention of a value again
+    return F.transform(F.transform(F.transform(lines, read), judge), score)
 
 
 def cognitive(scores: Column) -> Column:
@@ -162,16 +169,16 @@ def _unclosed(scores: Column) -> Column:
     Backward recurrence: ``low`` is the least balance reached from a line on,
     ``since_open`` the same but only from the next '{' on.
     """
-    far = F.lit(1 << 30)
+    far = F.lit(None).cast("int")  # least() passes over it
 
     def step(acc, s):
         net = s["opens"] - s["closes"]
         low = net + F.least(F.lit(0), acc["low"])
-        since = F.when(s["opens"] > 0, low).otherwise(F.least(net + acc["since_open"], far))
+        since = F.when(s["opens"] > 0, low).otherwise(net + acc["since_open"])
         return {
             "low": low,
             "since_open": since,
-            "open": F.when(s["decl"].isNotNull() & (since > 0), F.concat(acc["open"], F.array(s["n"]))).otherwise(acc["open"]),
+            "open": F.when(s["decl"].isNotNull() & F.coalesce(since > 0, F.lit(True)), F.concat(acc["open"], F.array(s["n"]))).otherwise(acc["open"]),
         }
 
     start = {"low": F.lit(0), "since_open": far, "open": F.array().cast("array<int>")}
@@ -283,7 +290,8 @@ def with_methods(files: DataFrame) -> DataFrame:
 
 def method_table(files: DataFrame) -> DataFrame:
     """One row per method."""
-    return with_methods(files).select("path", "language", F.inline("methods"))
+    # filtered behind the generator: a filter on the array would copy all of its expressions
+    return with_methods(files).select("path", "language", F.inline_outer("methods")).where(F.col("start_line") > 0)
 
 
 def file_complexity(files: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,18 +23,11 @@ def get_session(app: str = "sourcelake", master: str | None = None, **conf: str)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder named by ``spark.checkpoint.dir``.
-
-    Only a local session without that setting (tests) gets a scratch folder; on
-    a cluster the folder must be shared, so a missing setting is an error there.
-    """
+    """Reliable checkpoint in the shared folder named by ``spark.checkpoint.dir``."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
+    if spark.sparkContext.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="sourcelake-ckpt-")
-        sc.setCheckpointDir(folder)
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

@@ -5,8 +5,11 @@ Every source yields ``files(path, language, text)``, one row per file.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,32 +39,35 @@ def in_excluded_dir(path: Column, extra: Iterable[str] = ()) -> Column:
     return F.arrays_overlap(dirs, F.array(*[F.lit(d) for d in (*EXCLUDED_DIRS, *extra)]))
 
 
-def path_order(path: Column) -> Column:
-    """Sort key of a depth-first walk with children in name order."""
-    return F.split(path, "/")
-
-
 def read_tree(spark: SparkSession, root: str, exclude: Iterable[str] = ()) -> DataFrame:
-    """Scan a source tree; non-source and excluded files are dropped by name.
+    """Scan a source tree; excluded directories are not entered, other extensions not read.
 
-    The name filters use only ``_metadata``, so Spark prunes the file listing
-    before any content is read.
+    Spark's file sources skip names that begin with ``_`` or ``.``, which source
+    trees have (``__init__.py``), so the names are listed here and become a table
+    of paths; the tasks read the contents from the store.  Paths are relative to
+    the root, and only directories under it are tested.
     """
-    base = root.rstrip("/")
-    raw = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("ignoreMissingFiles", True)
-        .text(base)
-    )
-    full = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
-    anchor = base if "://" in base else "/" + base.lstrip("/")
-    path = F.when(full.startswith(anchor + "/"), F.substring(full, len(anchor) + 2, 1 << 20)).otherwise(full)
-    files = raw.select(path.alias("path"), F.col("value").alias("text"))
-    return (
-        files.where(is_source(F.col("path")) & ~in_excluded_dir(F.col("path"), exclude))
-        .select("path", language_of(F.col("path")).alias("language"), "text")
-    )
+    store, base = fs.FileSystem.from_uri(root if "://" in root else os.path.abspath(root))
+    base, skip = base.rstrip("/"), {*EXCLUDED_DIRS, *exclude}
+    found, folders = [], [base]
+    while folders:
+        for info in store.get_file_info(fs.FileSelector(folders.pop())):
+            if info.type == fs.FileType.Directory and info.base_name not in skip:
+                folders.append(info.path)
+            elif info.type == fs.FileType.File and info.extension.lower() in SOURCE_EXTENSIONS:
+                found.append((info.path[len(base) + 1:], info.path))
+    paths = spark.createDataFrame(sorted(found), "path string, at string")
+
+    def contents(batches):
+        for batch in batches:
+            texts = []
+            for at in batch.column("at").to_pylist():
+                with store.open_input_stream(at) as stream:
+                    texts.append(stream.read().decode("utf-8", errors="replace"))
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(texts, pa.string())], names=["path", "text"])
+
+    texts = paths.mapInArrow(contents, "path string, text string")
+    return texts.select("path", language_of(F.col("path")).alias("language"), "text")
 
 
 def read_file(spark: SparkSession, file_path: str, root: str) -> DataFrame:
@@ -88,22 +94,18 @@ def from_table(df: DataFrame, path: Column, text: Column, language: Column | Non
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return from_table(df, F.concat(F.lit("doc_"), F.col("doc_id").cast("string")), F.col("text"), F.col("lang"))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web pages as script files: one pseudo-line per tag."""
-    df = spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    df = spark.read.parquet(f"{sf_dir}/pages.parquet")
     text = F.regexp_replace(F.col("html"), ">", ">\n")
     return from_table(df, F.concat(F.lit("page_"), F.col("page_id").cast("string")), text, F.lit("javascript"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core when a small input arrives in few splits.
-
-    A large table already has more splits than cores and is left alone, so no
-    text is shuffled there.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One pseudo-file for each turn of a conversation."""
+    df = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return from_table(df, F.concat_ws("_", F.lit("conv"), "conv_id", "turn"), F.col("text"), F.col("role"))

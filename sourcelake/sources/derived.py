@@ -12,10 +12,10 @@ file and of the file it imports.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sourcelake.sources.corpus import spread
 
 _DIRS = ("model", "controller", "service", "repository", "view", "util", "domain")
 
@@ -272,6 +272,7 @@ FROM (SELECT CAST(o_orderkey AS BIGINT) AS k, CAST(o_custkey AS BIGINT) AS c,
 
 def code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """files(path, language, text): one rendered source file per order."""
-    orders = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey"))
-    orders.createOrReplaceTempView("code_orders")
-    return spark.sql(code_sql("code_orders"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    view = f"code_orders_{uuid.uuid4().hex}"  # a name of its own: callers don't overwrite each other's
+    orders.createOrReplaceTempView(view)
+    return spark.sql(code_sql(view))
