@@ -145,7 +145,10 @@ class Expression:
             raise TemplateError(f"unexpected {value!r}")
         while self.peek(".", "["):
             if self.take()[1] == ".":
-                tree = ("field", tree, ("const", self.take()[1]))
+                kind, key = self.take()
+                if kind != "name" or key.startswith("_"):
+                    raise TemplateError(f"no field {key!r}")
+                tree = ("field", tree, ("const", key))
             else:
                 tree = ("field", tree, self.either())
                 if not self.peek("]"):
@@ -279,7 +282,6 @@ def body(items: list[tuple[str, str]], at: int, ends: tuple[str, ...]) -> tuple[
             raise TemplateError(f"unexpected {value!r}")
     if ends:
         raise TemplateError(f"{ends[-1]} is missing")
-    # neighbouring constant texts become one
     return nodes, at
 
 
