@@ -32,9 +32,11 @@ DEPTH = 5
 #: Start and end mark: a byte that UTF-8 never has.
 MARK = 255
 #: Entries of a broadcast block (20 bytes each).
-BLOCK_ENTRIES = 6_000_000
+BLOCK_ENTRIES = 4_000_000
 #: Distinct grams or words that a task adds up before it hands them on.
 HELD = 1_500_000
+#: Characters of texts that a task takes apart at a time.
+AT_ONCE = 1_000_000
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SECOND_SEED = 0x9E3779B97F4A7C15
 
@@ -72,11 +74,10 @@ def gram_counts(docs: DataFrame, depth: int) -> DataFrame:
         code, n = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         for batch in batches:
             train, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-            for lo, hi in chunks([x or 0 for x in pa.compute.binary_length(texts).to_pylist()]):
+            for lo, hi in chunks([x or 0 for x in pa.compute.binary_length(texts).to_pylist()], AT_ONCE):
                 found, sizes = grams(texts.slice(lo, hi - lo).to_pylist(), depth)
-                code = np.r_[code, found]
-                n = np.r_[n, np.repeat(train[lo:hi].astype(np.int64), sizes)]
-                code, n = added(code, n)
+                own, times = added(found, np.repeat(train[lo:hi].astype(np.int64), sizes))
+                code, n = added(np.r_[code, own], np.r_[n, times])
                 if len(code) > HELD:
                     yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["gram", "n"])
                     code, n = code[:0], n[:0]
@@ -164,15 +165,19 @@ def gram_scores(counts: DataFrame, depth: int) -> DataFrame:
     estimate = (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1.0)
     row = levels[0].select("context", "node", estimate.alias("p"), (F.col("w") * estimate).alias("mixed"), (1 - F.col("w")).alias("left"))
     for d in range(1, depth + 1):
-        row = written(row, "mixture")
         above = row.select(F.col("context").alias("shorter"), "node", F.col("p").alias("p0"), F.col("mixed").alias("m0"), F.col("left").alias("l0"))
         here = levels[d].withColumn("shorter", F.col("context").bitwiseAND((1 << 8 * (d - 1)) - 1)).join(above, ["shorter", "node"])
         # a context that training has not seen predicts as the one above it
         p = F.when(F.col("n0") + F.col("n1") > 0, F.col("m0") + F.col("l0") * estimate).otherwise(F.col("p0"))
         row = here.select("context", "node", p.alias("p"), (F.col("m0") + F.col("l0") * F.col("w") * estimate).alias("mixed"), (F.col("l0") * (1 - F.col("w"))).alias("left"))
-    told = decisions(by_byte.select("context", "byte")).join(row.select("context", "node", "p"), ["context", "node"])
-    log = F.log10(F.when(F.col("bit") == 1, F.col("p")).otherwise(1 - F.col("p")))
-    return told.groupBy("context", "byte").agg(F.sum(log).alias("logp")).select((F.shiftleft("context", 8) + F.col("byte")).alias("gram"), "logp")
+    # a context has 255 nodes at most: one map for each, so that grams need not be taken apart before they are dealt
+    maps = row.groupBy("context").agg(F.map_from_entries(F.collect_list(F.struct("node", "p"))).alias("p"))
+    log = F.lit(0.0)
+    for i in range(8):
+        one = F.element_at("p", (F.lit(1 << i) + F.shiftright(F.col("byte"), 8 - i)).cast("int"))
+        log = log + F.log10(F.when(F.shiftright(F.col("byte"), 7 - i).bitwiseAND(1) == 1, one).otherwise(1 - one))
+    told = by_byte.select("context", "byte").join(maps, "context")
+    return told.select((F.shiftleft("context", 8) + F.col("byte")).alias("gram"), log.alias("logp"))
 
 
 def blocks(df: DataFrame, key: str, columns: list[str]):
@@ -193,7 +198,7 @@ def add_grams(df: DataFrame, block, depth: int) -> DataFrame:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
             score = batch.column(batch.schema.get_field_index("score")).to_numpy().copy()
-            for lo, hi in chunks([x or 0 for x in pa.compute.binary_length(texts).to_pylist()]):
+            for lo, hi in chunks([x or 0 for x in pa.compute.binary_length(texts).to_pylist()], AT_ONCE):
                 found, sizes = grams(texts.slice(lo, hi - lo).to_pylist(), depth)
                 own, back = np.unique(found, return_inverse=True)
                 if len(code):
@@ -222,7 +227,7 @@ def add_words(df: DataFrame, block) -> DataFrame:
             texts = batch.column(batch.schema.get_field_index("text"))
             known = batch.column(batch.schema.get_field_index("n_known")).to_numpy().copy()
             total = batch.column(batch.schema.get_field_index("known_log")).to_numpy().copy()
-            for lo, hi in chunks([x or 0 for x in pa.compute.binary_length(texts).to_pylist()]):
+            for lo, hi in chunks([x or 0 for x in pa.compute.binary_length(texts).to_pylist()], AT_ONCE):
                 split = [words(t) for t in texts.slice(lo, hi - lo).to_pylist()]
                 own = list(set().union(*split))
                 a, b = keys(own)
