@@ -76,9 +76,11 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     if there > SAMPLE_ROWS:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * SAMPLE_ROWS / there))
     # about SAMPLE_ROWS keys at most, so a broadcast; texts stay where they are
-    texts = id_text(df, id_col, text_col).join(F.broadcast(known), "doc_id")
+    texts = id_text(df, id_col, text_col).join(F.broadcast(known), "doc_id").select("y", "text")
+    # the sample is bounded, so it is dealt to few tasks, each with one count of buckets
+    texts = cut(texts.repartition(PARTS))
     # a row for each bucket at most; bucket -1 counts the texts
-    counts = texts.select("y", "text").mapInArrow(counted, "b int, n long, pos long").groupBy("b").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).toArrow()
+    counts = texts.mapInArrow(counted, "b int, n long, pos long").groupBy("b").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).toArrow()
     b, n_of, pos_of = (counts.column(k).to_numpy() for k in range(3))
     n1 = int(pos_of[b < 0].sum())
     n0 = int(n_of[b < 0].sum()) - n1
@@ -98,7 +100,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     place = np.full(size, -1, dtype=np.int32)
     place[used] = np.arange(len(used))
     # the sample's features as positions among those in use
-    sample = cut(texts.select("y", "text").mapInArrow(lambda batches: narrowed(batches, place), "y int, found array<int>").repartition(PARTS))
+    sample = cut(texts.mapInArrow(lambda batches: narrowed(batches, place), "y int, found array<int>"))
     w, b, m, v = np.zeros(len(used)), bias, np.zeros(len(used)), np.zeros(len(used))
     scale = ratio[used]
     for step in range(1, STEPS + 1):
