@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sourcelake.functions import text as tx
-from sourcelake.operators import graphs, methods, review, scan, security
+from sourcelake.operators import drift, graphs, methods, naming, review, scan, security, thresholds
+from sourcelake.sinks import reports
 from sourcelake.sources import corpus, derived
 
 
@@ -120,6 +121,27 @@ def text_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return methods.file_complexity(texts(spark, sf_dir))
 
 
+
+def naming_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return naming.naming_findings(derived.code(spark, sf_dir))
+
+
+def drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of documents and pages as the baseline, of documents and turns as the current state."""
+    docs = corpus.documents(spark, sf_dir)
+    before = security.security_findings(docs.unionByName(corpus.pages(spark, sf_dir)))
+    now = security.security_findings(docs.unionByName(corpus.conversations(spark, sf_dir)))
+    return drift.drift(before, now)
+
+
+def sarif_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.sarif_results(findings(spark, sf_dir))
+
+
+def code_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return thresholds.over_limits(code_methods(spark, sf_dir))
+
+
 QUERIES = {
     "scan_lines": scan_lines,
     "language_histogram": language_histogram,
@@ -136,7 +158,11 @@ QUERIES = {
     "code_scan": code_scan,
     "code_imports": code_imports,
     "code_methods": code_methods,
+    "code_limits": code_limits,
     "text_complexity": text_complexity,
+    "naming_findings": naming_findings,
+    "drift_report": drift_report,
+    "sarif_results": sarif_results,
 }
 
 # -- the same in SQL ---------------------------------------------------------
@@ -214,7 +240,38 @@ _FINDINGS = "findings AS (" + "\nUNION ALL ".join([_rule_sql(r) for r in securit
 _WITH = f"WITH {_FILES}, {_FINDINGS}"
 _COUNTS = "count(*) FILTER (severity = 'ERROR') AS errors, count(*) FILTER (severity = 'WARNING') AS warnings, count(*) FILTER (severity = 'INFO') AS infos"
 
+
+
+def _naming_sql() -> str:
+    def name(pattern: str) -> str:
+        return f"nullif(regexp_extract(t, {_quoted(pattern)}, 1), '')"
+
+    method = "CASE language " + " ".join(f"WHEN '{k}' THEN {name(p)}" for k, p in naming.METHOD_OF.items()) + f" ELSE {name(naming.METHOD)} END"
+    right = "regexp_matches({0}, CASE WHEN snake THEN '" + naming.SNAKE + "' ELSE '" + naming.CAMEL + "' END)"
+    cased = "CASE WHEN snake THEN 'snake_case' ELSE 'camelCase' END"
+    listed = lambda xs: ", ".join(map(_quoted, xs))
+    return f"""
+WITH code AS ({derived.code_sql()}),
+l AS (SELECT path, language, unnest(generate_series(1, len(s))) AS line_no, unnest(s) AS line FROM
+  (SELECT path, language, string_split(regexp_replace(text, '\n\z', ''), chr(10)) AS s FROM code)),
+t AS (SELECT *, trim(line, ' ' || chr(9)) AS t, language IN ({listed(naming.SNAKE_LANGUAGES)}) AS snake FROM l),
+n AS (SELECT path, line_no, snake, {name(naming.DECLARED["CLASS"])} AS c, {name(naming.DECLARED["CONSTANT"])} AS k, {method} AS m, {name(naming.DECLARED["VARIABLE"])} AS v
+  FROM t WHERE NOT ({" OR ".join(f"starts_with(t, '{x}')" for x in naming.COMMENTS)})),
+f AS (SELECT path, language, regexp_replace(regexp_extract(path, '[^/]*$'), '\.[^.]*$', '') AS stem FROM code)
+SELECT path, line_no::INTEGER AS line_no, 'CLASS' AS kind, c AS name, 'PascalCase' AS expected, 'WARNING' AS severity, 0.85::DOUBLE AS confidence FROM n WHERE NOT regexp_matches(c, '{naming.PASCAL}') AND c <> '_'
+UNION ALL SELECT path, line_no, 'CONSTANT', k, 'UPPER_SNAKE_CASE', 'WARNING', 0.85 FROM n WHERE NOT regexp_matches(k, '{naming.UPPER}')
+UNION ALL SELECT path, line_no, 'METHOD', m, {cased}, 'WARNING', 0.85 FROM n WHERE m NOT IN ({listed(naming.NO_METHODS)}) AND NOT {right.format("m")} AND NOT starts_with(m, '_')
+UNION ALL SELECT path, line_no, 'VARIABLE', v, {cased}, 'INFO', 0.7 FROM n WHERE k IS NULL AND NOT starts_with(v, '_') AND NOT {right.format("v")} AND NOT regexp_matches(v, '{naming.UPPER}')
+UNION ALL SELECT path, 1, 'FILE', stem, CASE WHEN language IN ({listed(naming.PASCAL_FILES)}) THEN 'PascalCase' ELSE 'snake_case' END, 'INFO', 0.6 FROM f
+WHERE (language IN ({listed(naming.PASCAL_FILES)}) AND NOT regexp_matches(stem, '{naming.PASCAL}') AND NOT contains(stem, 'Test') AND stem <> 'build')
+   OR (language IN ({listed(naming.SNAKE_FILES)}) AND NOT regexp_matches(stem, '{naming.SNAKE}') AND stem NOT IN ('__init__', '__main__'))
+"""
+
+
 ORACLES = {
+    "naming_findings": _naming_sql(),
+    "drift_report": f"""{_WITH}, f AS (SELECT type || ':' || path || ':' || line_no AS fingerprint, min(severity) AS severity, any_value(path) AS path FROM findings GROUP BY 1)
+SELECT fingerprint, severity, CASE WHEN path LIKE 'page%' THEN 'resolved' ELSE 'new' END AS state FROM f WHERE path NOT LIKE 'doc%'""",
     "scan_lines": f"""WITH {_FILES}
 SELECT path, count(*) AS n_lines, count(*) FILTER (t = '') AS blank_lines, max(length(line))::BIGINT AS longest, sum(length(line))::BIGINT AS chars
 FROM trimmed GROUP BY path""",
