@@ -17,6 +17,7 @@ score.  Texts are never shuffled.
 
 from __future__ import annotations
 
+import gc
 import math
 
 import numpy as np
@@ -25,7 +26,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sourcelake.llm.common import chunks, id_text, in_parts, shuffle_parts, written
+from sourcelake.llm.common import chunks, id_text, in_parts, shuffle_parts
+from sourcelake.llm.common import written as written_table
 
 #: Bytes of context.
 DEPTH = 5
@@ -41,6 +43,18 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SECOND_SEED = 0x9E3779B97F4A7C15
 
 
+def written(df: DataFrame, what: str) -> DataFrame:
+    """``df`` through a table; the shuffle files that made it can go then.
+
+    Spark drops a finished job's shuffle files when the driver has collected the
+    objects that refer to them, which by itself may be half an hour later.
+    """
+    out = written_table(df, what)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def grams(texts: list[str], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The packed (context, byte) of every byte and end mark, and how many each text has."""
     parts = [t.encode() for t in texts]
