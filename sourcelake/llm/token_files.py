@@ -20,8 +20,9 @@ any store, in ascending order of (part, seq) and so of doc_id.
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
-import re
 import struct
 import zlib
 from dataclasses import dataclass
@@ -43,10 +44,11 @@ DICTIONARY_BYTES = 64_000
 LEVEL = 3
 #: Compressed bytes after which a shard ends.
 SHARD_BYTES = 4_000_000
-#: Distinct words whose ids a task remembers; others are encoded again in each chunk.
-REMEMBERED = 300_000
-#: Where a text may be cut: the tokenizer drops white space, and no token reaches over it.
-CUT = re.compile(r"[ \n]")
+#: Distinct words whose ids a task remembers; beyond, it starts anew.
+REMEMBERED = 600_000
+#: Words encoded together, and marks that may end one of them.
+BATCH = 1_000
+MARKS = tuple(".,;:!?")
 
 
 @dataclass(frozen=True)
@@ -57,25 +59,76 @@ class Written:
     dictionary: bytes
 
 
-def words_once(tokenizer_file: str):
-    """texts -> lists of ids; each distinct word of a chunk goes through the library once."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class WordIds:
+    """Ids of texts by way of their distinct words, each of which goes through the library once.
 
-    model, known = Tokenizer.from_file(tokenizer_file), {}
+    Words that are letters alone, or letters and one mark, are encoded together:
+    the library makes one pre-token of each run, and a pre-token's last token
+    ends a word.  If a batch has another number of ends than expected, its words
+    are encoded one by one, as are all other words.
+    """
 
-    def encode(texts: list[str]) -> list[list[int]]:
-        split = [CUT.split(t) for t in texts]
-        new = list(set().union(*split).difference(known))
-        found = {w: e.ids for w, e in zip(new, model.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        if len(known) + len(found) <= REMEMBERED:
-            known.update(found)
-            table = known
+    def __init__(self, tokenizer_file: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.model = Tokenizer.from_file(tokenizer_file)
+        suffix = json.loads(self.model.to_str())["model"].get("end_of_word_suffix")
+        vocabulary = self.model.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        if suffix:
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        self.joins = bool(suffix)
+        self.forget()
+
+    def forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.begin = np.zeros(1, dtype=np.int64)
+        self.flat = np.zeros(0, dtype=np.int64)
+        self.size, self.new = 0, []
+
+    def learn(self, words: list[str]) -> None:
+        plain, marked, others = [], [], []
+        for w in words:
+            (plain if w.isalpha() else marked if w[-1:] in MARKS and w[:-1].isalpha() else others).append(w)
+        if not self.joins:
+            plain, marked, others = [], [], words
+        for part, each in ((plain, 1), (marked, 2)):
+            for lo in range(0, len(part), BATCH):
+                self.together(part[lo : lo + BATCH], each)
+        self.one_by_one(others)
+        self.flat = np.concatenate([self.flat, *(ids for ids, _ in self.new)])
+        self.begin = np.concatenate([self.begin, *(ends for _, ends in self.new)])
+        self.new = []
+
+    def together(self, words: list[str], each: int) -> None:
+        ids = np.array(self.model.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype=np.int64)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != each * len(words):  # every run has an end at least, so equal means one each
+            self.one_by_one(words)
         else:
-            table = {**known, **found}
-        return [[i for w in words for i in table[w]] for words in split]
-
-    return encode
+            self.add(words, ids, ends[each - 1 :: each])
+
+    def one_by_one(self, words: list[str]) -> None:
+        found = [e.ids for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
+        self.add(words, np.array([i for ids in found for i in ids], dtype=np.int64), np.cumsum([len(ids) for ids in found], dtype=np.int64))
+
+    def add(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words)), strict=True))
+        self.new.append((ids, self.size + ends))
+        self.size += len(ids)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        split = [t.replace("\n", " ").split(" ") for t in texts]  # white space is dropped, and no token reaches over it
+        if len(self.index) > REMEMBERED:
+            self.forget()
+        self.learn(list(set().union(*split).difference(self.index)))
+        counts = [len(words) for words in split]
+        at = np.fromiter(map(self.index.__getitem__, itertools.chain.from_iterable(split)), dtype=np.int64, count=sum(counts))
+        sizes = (self.begin[1:] - self.begin[:-1])[at]
+        after = np.cumsum(sizes)
+        ids = self.flat[np.repeat(self.begin[at] - (after - sizes), sizes) + np.arange(int(sizes.sum()))]
+        return np.split(ids, np.r_[0, after][np.cumsum(counts)[:-1]]) if texts else []
 
 
 def width_of(tokenizer_file: str) -> int:
@@ -93,8 +146,8 @@ def train(docs: DataFrame, tokenizer_file: str, end_id: int, width: int) -> byte
     part = docs.where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1_000_000)) < int(1e6 * share))
 
     def make():
-        encode = words_once(tokenizer_file)
-        return lambda texts: [pa.array([np.array([*ids, end_id], dtype=f"<u{width}").tobytes() for ids in encode(texts)], pa.binary())]
+        encode = WordIds(tokenizer_file).encode
+        return lambda texts: [pa.array([np.append(ids, end_id).astype(f"<u{width}").tobytes() for ids in encode(texts)], pa.binary())]
 
     rows = map_texts(part, make, "ids binary").collect()
     samples = sorted(bytes(r["ids"]) for r in rows if len(r["ids"]) >= 8)
@@ -157,10 +210,10 @@ def write(df: DataFrame, tokenizer_file: str, end_id: int, id_col: str = "doc_id
     dictionary = train(docs, tokenizer_file, end_id, width)
 
     def make():
-        encode, zstd = words_once(tokenizer_file), compressor(dictionary)
+        encode, zstd = WordIds(tokenizer_file).encode, compressor(dictionary)
 
         def fn(texts: list[str]) -> list[pa.Array]:
-            arrays = [np.array([*ids, end_id], dtype=f"<u{width}") for ids in encode(texts)]
+            arrays = [np.append(ids, end_id).astype(f"<u{width}") for ids in encode(texts)]
             return [pa.array([len(a) for a in arrays], pa.int64()), pa.array([zstd.compress(a.tobytes()) for a in arrays], pa.binary())]
 
         return fn
