@@ -45,7 +45,7 @@ def chunks(sizes: list[int], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, in
         yield lo, len(sizes)
 
 
-def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], list[pa.Array]]], schema: str, keyed: bool = False) -> DataFrame:
+def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], list[pa.Array]]], schema: str, keyed: bool = False, at_once: int = CHUNK_CHARS) -> DataFrame:
     """(doc_id, text) -> (doc_id, *schema), row by row in place; no shuffle.
 
     ``make()`` runs once in each task and returns the function that turns a list
@@ -58,7 +58,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], list[pa.Ar
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             sizes = pa.compute.binary_length(texts).to_pylist()
-            for lo, hi in chunks(sizes):
+            for lo, hi in chunks(sizes, at_once):
                 part = texts.slice(lo, hi - lo).to_pylist()
                 if keyed:
                     part = list(zip(ids.slice(lo, hi - lo).to_pylist(), part, strict=True))

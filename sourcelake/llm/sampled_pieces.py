@@ -28,9 +28,11 @@ from sourcelake.llm import pieces
 from sourcelake.llm.common import id_text, map_texts
 
 #: Distinct units whose lattices a task remembers; beyond, it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: Units whose lattices are built at once.
-BATCH = 32_768
+BATCH = 16_384
+#: Characters of texts that are sampled at once.
+AT_ONCE = 1_000_000
 U64 = np.uint64
 
 
@@ -169,7 +171,7 @@ class Sampler:
         while len(who):
             draw = (mix(stream[who] + U64(step)) >> U64(11)).astype(np.float64) / (1 << 53)
             edge = np.minimum(np.searchsorted(t.line, at + draw, side="right"), len(t.line) - 1)
-            made.append((who, t.emit[edge]))
+            made.append((who.astype(np.int32), t.emit[edge]))
             at = t.back[edge].astype(np.int64)
             on = at >= 0
             who, at, step = who[on], at[on], step + 1
@@ -236,4 +238,4 @@ def sampled_pieces(df: DataFrame, model_file: str, alpha: float = 1.0, seed: int
 
         return fn
 
-    return map_texts(id_text(df, id_col, text_col), make, "ids array<int>, n_tokens long, lossless boolean", keyed=True).select("doc_id", F.col("ids"), "n_tokens", "lossless")
+    return map_texts(id_text(df, id_col, text_col), make, "ids array<int>, n_tokens long, lossless boolean", keyed=True, at_once=AT_ONCE).select("doc_id", F.col("ids"), "n_tokens", "lossless")
