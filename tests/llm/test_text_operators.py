@@ -186,12 +186,12 @@ def test_chats(spark, monkeypatch):
     whole = {r["conv_id"]: tuple(r) for r in chat.digests(chat.format_chats(df)).collect()}
     assert {k: (v[1], v[3]) for k, v in whole.items()} == {1: (3, 16), None: (1, 0), 2: (1, 0), 3: (1, 0)}
     monkeypatch.setattr(chat, "SEGMENT_CHARS", 5)
-    made = Counter_of(chat.Template(chat.TEMPLATE).segments(iter([("user", "aaaa")] * 3)))
+    made = length_of(chat.Template(chat.TEMPLATE).segments(iter([("user", "aaaa")] * 3)))
     assert made == 3
     assert chat.format_chats(df.limit(0)).collect() == []
 
 
-def Counter_of(values):
+def length_of(values):
     return sum(1 for _ in values)
 
 
