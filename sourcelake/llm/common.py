@@ -45,6 +45,18 @@ def chunks(sizes: list[int], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, in
         yield lo, len(sizes)
 
 
+#: Rows of an Arrow batch: documents are long, and Spark's default of 10,000 rows is for short ones.
+BATCH_ROWS = 1_000
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session hands Python batches of few rows unless it was set otherwise."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name) == "10000":
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], list[pa.Array]]], schema: str, keyed: bool = False, at_once: int = CHUNK_CHARS) -> DataFrame:
     """(doc_id, text) -> (doc_id, *schema), row by row in place; no shuffle.
 
@@ -68,7 +80,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], list[pa.Ar
 
     out = f"doc_id long, {schema}"
     names = [field.split()[0] for field in out.split(", ")]
-    return df.select("doc_id", "text").mapInArrow(run, out)
+    return in_batches(df).select("doc_id", "text").mapInArrow(run, out)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -118,7 +130,7 @@ def keep_rows(df: DataFrame, text_col: str, make: Callable[[], Callable[[list[st
 
     import pyarrow.compute  # noqa: F401
 
-    return df.mapInArrow(run, df.schema)
+    return in_batches(df).mapInArrow(run, df.schema)
 
 
 def sha(text: Column) -> Column:

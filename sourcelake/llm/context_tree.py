@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sourcelake.llm.common import chunks, id_text, in_parts, shuffle_parts
+from sourcelake.llm.common import chunks, id_text, in_batches, in_parts, shuffle_parts
 from sourcelake.llm.common import written as written_table
 
 #: Bytes of context.
@@ -275,7 +275,7 @@ def score(df: DataFrame, depth: int = DEPTH, held_parts: int = 5, held_part: int
     alone.  Without training rows every byte has probability 1/256 and no word is
     known.  Rows map one to one; an empty table gives an empty result.
     """
-    docs = id_text(df, id_col, text_col).withColumn("train", ~in_parts(F.col("doc_id"), held_parts, held_part))
+    docs = in_batches(id_text(df, id_col, text_col)).withColumn("train", ~in_parts(F.col("doc_id"), held_parts, held_part))
     counts = written(word_counts(docs), "words")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     model = written(gram_scores(gram_counts(docs, depth), depth), "model")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourcelake.llm.common import chunks, id_text, keep_rows
+from sourcelake.llm.common import chunks, id_text, in_batches, keep_rows
 
 WORD = re.compile(r"\w+")
 SEED_WORDS = 5
@@ -185,7 +185,7 @@ def overlaps(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     documents and items give a row each (equal (item_id, text) rows count once);
     null ids stay null.  Empty tables give an empty result.
     """
-    docs = id_text(df, id_col, text_col)
+    docs = in_batches(id_text(df, id_col, text_col))
     schema = "doc_id long, item_id long, n_tiles long, covered_words long, item_words long, coverage double"
 
     def tiled(items: tuple) -> DataFrame:

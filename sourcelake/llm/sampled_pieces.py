@@ -16,7 +16,6 @@ text itself matches no piece and becomes bytes, so decoding is lossless.
 
 from __future__ import annotations
 
-import functools
 import math
 
 import numpy as np
@@ -140,14 +139,9 @@ class Lattices:
         self.states += len(code)
 
 
-@functools.lru_cache(maxsize=2)
-def lattices(model_file: str, alpha: float) -> Lattices:
-    return Lattices(pieces.load(model_file), alpha)
-
-
 class Sampler:
     def __init__(self, model_file: str, alpha: float, seed: int):
-        self.table = lattices(model_file, alpha)
+        self.table = Lattices(pieces.load(model_file), alpha)  # a task's own, so its memory ends with the task
         self.seed = mix(np.array([seed % (1 << 64)], dtype=U64))[0]
 
     def encode(self, keys: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourcelake.llm.common import cut, id_text, in_parts, keep_rows, map_texts
+from sourcelake.llm.common import cut, id_text, in_batches, in_parts, keep_rows, map_texts
 
 BITS = 19
 GRAMS = (4, 5, 6, 7)
@@ -26,7 +26,7 @@ LEAST_WEIGHT = 7.0
 FEWEST = 2_000
 STEPS = 40
 SHRINK = 1e-4
-PARTS = 12
+PARTS = 6
 U64 = np.uint64
 
 
@@ -76,7 +76,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     if there > SAMPLE_ROWS:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * SAMPLE_ROWS / there))
     # about SAMPLE_ROWS keys at most, so a broadcast; texts stay where they are
-    texts = id_text(df, id_col, text_col).join(F.broadcast(known), "doc_id").select("y", "text")
+    texts = in_batches(id_text(df, id_col, text_col)).join(F.broadcast(known), "doc_id").select("y", "text")
     # the sample is bounded, so it is dealt to few tasks, each with one count of buckets
     texts = cut(texts.repartition(PARTS))
     # a row for each bucket at most; bucket -1 counts the texts
