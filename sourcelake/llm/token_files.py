@@ -20,6 +20,7 @@ any store, in ascending order of (part, seq) and so of doc_id.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import json
 import os
@@ -131,6 +132,12 @@ class WordIds:
         return np.split(ids, np.r_[0, after][np.cumsum(counts)[:-1]]) if texts else []
 
 
+@functools.lru_cache(maxsize=1)
+def word_ids(tokenizer_file: str) -> WordIds:
+    """One in each worker, so that tasks that follow know the words of those before."""
+    return WordIds(tokenizer_file)
+
+
 def width_of(tokenizer_file: str) -> int:
     from tokenizers import Tokenizer
 
@@ -146,7 +153,7 @@ def train(docs: DataFrame, tokenizer_file: str, end_id: int, width: int) -> byte
     part = docs.where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1_000_000)) < int(1e6 * share))
 
     def make():
-        encode = WordIds(tokenizer_file).encode
+        encode = word_ids(tokenizer_file).encode
         return lambda texts: [pa.array([np.append(ids, end_id).astype(f"<u{width}").tobytes() for ids in encode(texts)], pa.binary())]
 
     rows = map_texts(part, make, "ids binary").collect()
@@ -210,7 +217,7 @@ def write(df: DataFrame, tokenizer_file: str, end_id: int, id_col: str = "doc_id
     dictionary = train(docs, tokenizer_file, end_id, width)
 
     def make():
-        encode, zstd = WordIds(tokenizer_file).encode, compressor(dictionary)
+        encode, zstd = word_ids(tokenizer_file).encode, compressor(dictionary)
 
         def fn(texts: list[str]) -> list[pa.Array]:
             arrays = [np.append(ids, end_id).astype(f"<u{width}") for ids in encode(texts)]
