@@ -255,7 +255,7 @@ def _naming_sql() -> str:
     right = "regexp_matches({0}, CASE WHEN snake THEN '" + naming.SNAKE + "' ELSE '" + naming.CAMEL + "' END)"
     cased = "CASE WHEN snake THEN 'snake_case' ELSE 'camelCase' END"
     listed = lambda xs: ", ".join(map(_quoted, xs))
-    return f"""
+    return rf"""
 WITH code AS ({derived.code_sql()}),
 l AS (SELECT path, language, unnest(generate_series(1, len(s))) AS line_no, unnest(s) AS line FROM
   (SELECT path, language, string_split(regexp_replace(text, '\n\z', ''), chr(10)) AS s FROM code)),
@@ -276,7 +276,7 @@ WHERE (language IN ({listed(naming.PASCAL_FILES)}) AND NOT regexp_matches(stem,
 def _dead_sql() -> str:
     jumps = " OR ".join(f"t = '{w}' OR starts_with(t, '{w} ') OR starts_with(t, '{w};') OR starts_with(t, '{w}(')" for w in deadcode.JUMPS)
     closes = " OR ".join(f"starts_with(t, '{w}')" for w in deadcode.AFTER_JUMP)
-    return f"""
+    return rf"""
 WITH code AS ({derived.code_sql()}),
 l AS (SELECT path, unnest(generate_series(1, len(s))) AS line_no, unnest(s) AS line FROM
   (SELECT path, string_split(regexp_replace(text, '\n\z', ''), chr(10)) AS s FROM code)),
