@@ -35,17 +35,21 @@ HASHES = 1 << 16
 UPPER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def fingerprint(text: str, words: int = 3) -> int:
-    """Of the shingles of ``words`` words each; 0 for a text without words."""
+def shingles(text: str, words: int) -> tuple[bytes, list[int], list[int]]:
+    """The words joined by spaces, and where each shingle begins and ends; fewer words than a shingle are one."""
     body = b" ".join(text.encode().translate(UPPER).split())  # bytes split at \\x20\\x09-\\x0D
-    if not body:
-        return 0
     gaps = np.flatnonzero(np.frombuffer(body, dtype=np.uint8) == 32)
     starts, ends = np.r_[0, gaps + 1].tolist(), np.r_[gaps, len(body)].tolist()
     if len(starts) < words:
-        starts, ends = [0], [len(body)]
-    else:
-        starts, ends = starts[: len(starts) - words + 1], ends[words - 1 :]
+        return body, [0], [len(body)]
+    return body, starts[: len(starts) - words + 1], ends[words - 1 :]
+
+
+def fingerprint(text: str, words: int = 3) -> int:
+    """Of the shingles of ``words`` words each; 0 for a text without words."""
+    body, starts, ends = shingles(text, words)
+    if not body:
+        return 0
     digest = xxhash.xxh64_intdigest
     ones = np.zeros(64, dtype=np.int64)
     for lo in range(0, len(starts), HASHES):
@@ -126,15 +130,20 @@ def near_duplicates(df: DataFrame, words: int = 3, id_col: str = "doc_id", text_
     return grouped(df, words, id_col, text_col).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(df: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group, all columns as they are: that with the smallest id (then digest; null ids last)."""
-    rows = cut(grouped(df, words, id_col, text_col).groupBy("root", "doc_id", "sha").agg(F.count(F.lit(1)).alias("copies")))
+def keep_first(df: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of each root of groups(doc_id, sha, root): that with the smallest id (then digest; null ids last)."""
+    rows = cut(groups.groupBy("root", "doc_id", "sha").agg(F.count(F.lit(1)).alias("copies")))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("sha"))
     best = cut(rows.groupBy("root").agg(F.min(rank).alias("best")))
     stays = F.col("doc_id").eqNullSafe(F.col("best")["doc_id"]) & (F.col("sha") == F.col("best")["sha"])
     return one_of_each(df, rows.join(best, "root").select("doc_id", "sha", "copies", stays.alias("stays")), id_col, text_col)
 
 
+def drop_near_duplicates(df: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group, all columns as they are: that with the smallest id (then digest; null ids last)."""
+    return keep_first(df, grouped(df, words, id_col, text_col), id_col, text_col)
+
+
 def masks() -> list[int]:
     """All differences of at most two bits (for tests)."""
     return [0, *(1 << i for i in range(64)), *((1 << i) | (1 << j) for i, j in itertools.combinations(range(64), 2))]
