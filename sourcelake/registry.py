@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sourcelake.functions import text as tx
-from sourcelake.operators import deadcode, drift, graphs, methods, naming, review, scan, security, thresholds
+from sourcelake.operators import deadcode, drift, duplicates, graphs, methods, naming, review, scan, security, thresholds
 from sourcelake.sinks import reports
 from sourcelake.sources import corpus, derived
 
@@ -93,6 +93,11 @@ def duplicate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("places > 1")
 
 
+def duplicate_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of six lines that are equal once comments, literals and names are out, in rendered code and documents."""
+    return duplicates.duplicate_code(derived.code(spark, sf_dir).unionByName(corpus.documents(spark, sf_dir)))
+
+
 def edit_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Debounced bursts: events of a user less than thirty minutes apart are one analysis, at the last of them."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_type")
@@ -158,6 +163,7 @@ QUERIES = {
     "coupling": coupling,
     "layer_graph": layer_graph,
     "duplicate_windows": duplicate_windows,
+    "duplicate_code": duplicate_code,
     "edit_sessions": edit_sessions,
     "code_scan": code_scan,
     "code_imports": code_imports,
