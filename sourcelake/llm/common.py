@@ -166,3 +166,21 @@ def one_of_each(df: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> D
     at = F.row_number().over(Window.partitionBy(single[id_col], sha(single[text_col])).orderBy(F.lit(1)))
     named = single.select(*[single[c].alias(f"c{i}") for i, c in enumerate(df.columns)], at.alias("at")).where("at = 1")
     return kept.join(twins, same(twins), "left_anti").unionAll(named.drop("at").toDF(*df.columns))
+
+
+def ranked(df: DataFrame, group: list[str], order: list[str], keep: list[str]) -> DataFrame:
+    """(*keep, rank, size): each row's place from 0 in its group, and the group's rows.
+
+    The group's columns must be among ``keep`` and hold no nulls.  Rows are dealt
+    by ranges of (group, order), so a group of any size is spread over tasks; what
+    lies before a task's part of a group comes from a table with one row for each
+    group and task.  Rows that agree in ``order`` get any of their places.
+    """
+    spark = df.sparkSession
+    dealt = df.repartitionByRange(shuffle_parts(spark), *group, *order).sortWithinPartitions(*group, *order)
+    flat = cut(dealt.select(*keep, F.monotonically_increasing_id().alias("_at")).withColumn("_part", F.shiftright("_at", 33)))
+    spans = flat.groupBy(*group, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy(*group)
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select(*group, "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"), F.sum("_n").over(whole).alias("size"))
+    return flat.join(spans, [*group, "_part"]).select(*keep, (F.col("_at") + F.col("_shift")).alias("rank"), "size")
