@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sourcelake import code_queries
 from sourcelake.functions import text as tx
 from sourcelake.operators import deadcode, drift, duplicates, graphs, methods, naming, review, scan, security, thresholds
 from sourcelake.sinks import reports
+from sourcelake.session import cut_lineage
 from sourcelake.sources import corpus, derived
 
 
@@ -98,6 +100,24 @@ def duplicate_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.duplicate_code(derived.code(spark, sf_dir).unionByName(corpus.documents(spark, sf_dir)))
 
 
+def code_windows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Repeated windows of rendered code and documents, and those files."""
+    files = derived.code(spark, sf_dir).unionByName(corpus.documents(spark, sf_dir))
+    return cut_lineage(duplicates.repeated(cut_lineage(duplicates.windows(files)))), files
+
+
+def duplicate_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicates.duplicate_blocks(code_windows(spark, sf_dir)[0])
+
+
+def duplicate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicates.duplicate_lines(*code_windows(spark, sf_dir))
+
+
+def duplicate_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicates.block_findings(duplicate_blocks(spark, sf_dir))
+
+
 def edit_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Debounced bursts: events of a user less than thirty minutes apart are one analysis, at the last of them."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_type")
@@ -164,6 +184,9 @@ QUERIES = {
     "layer_graph": layer_graph,
     "duplicate_windows": duplicate_windows,
     "duplicate_code": duplicate_code,
+    "duplicate_blocks": duplicate_blocks,
+    "duplicate_lines": duplicate_lines,
+    "duplicate_findings": duplicate_findings,
     "edit_sessions": edit_sessions,
     "code_scan": code_scan,
     "code_imports": code_imports,
@@ -174,6 +197,7 @@ QUERIES = {
     "dead_code": dead_code,
     "drift_report": drift_report,
     "sarif_results": sarif_results,
+    **code_queries.QUERIES,
 }
 
 # -- the same in SQL ---------------------------------------------------------
@@ -301,6 +325,7 @@ FROM c WHERE value <> '' AND NOT (word = 'while' AND value = 'true')
 
 
 ORACLES = {
+    **code_queries.ORACLES,
     "dead_code": _dead_sql(),
     "naming_findings": _naming_sql(),
     "drift_report": f"""{_WITH}, f AS (SELECT type || ':' || path || ':' || line_no AS fingerprint, min(severity) AS severity, any_value(path) AS path FROM findings GROUP BY 1)

@@ -15,6 +15,7 @@ import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 _DIRS = ("model", "controller", "service", "repository", "view", "util", "domain")
@@ -26,6 +27,8 @@ _JVM = [
     ("k % 9 = 0", ["import com.shop.legacy.*", "import com.shop.Alias@y as Short@y"]),
     ("c % 3 = 0", ["import com.shop.@d.Order@y"]),
     ("k % 40 = 7", [f"import com.shop.bulk.Bulk{i}" for i in range(18)]),
+    ("k % 80 = 27", [f"import com.shop.util.Order{i}" for i in range(1, 24) if i % 5]),
+    ("k % 80 = 67", [f"import com.shop.util.Order{i}" for i in range(1, 44) if i % 5]),
     (None, [""]),
     ("k % 8 = 2", ["@RestController"]),
     ("k % 16 = 2", ["@PreAuthorize(admin)"]),
@@ -189,6 +192,8 @@ _JVM = [
         "    fun nothing() { }",
         "    protected fun finalize() { }",
     ]),
+    ("k % 30 = 13", [line for i in range(1, 12) for line in (f"    fun tier{i}(v: Int) {{", f"        tier{i + 1}(v)", "    }")]),
+    ("k % 30 = 13", ["    fun tier12(v: Int) { }", "    fun tiers() {"] + [f"        tier{i}(1)" for i in range(1, 10)] + ["    }"]),
     ("k % 21 = 2", [
         "    fun chat@x() {",
     ] + [f"        Order@c.call{i}(id)" for i in range(12)] + ["    }"]),
@@ -275,4 +280,5 @@ def code(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
     view = f"code_orders_{uuid.uuid4().hex}"  # a name of its own: callers don't overwrite each other's
     orders.createOrReplaceTempView(view)
-    return spark.sql(code_sql(view))
+    # the generator holds each text: the optimizer would put its long expression wherever the text is used
+    return spark.sql(code_sql(view)).select("path", "language", F.explode(F.array("text")).alias("text"))
