@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourcelake.operators import callgraph, graphs, imports, scan
+from sourcelake.operators import callgraph, deadcode, graphs, imports, scan
 from sourcelake.session import cut_lineage
 from sourcelake.sources import derived
 
@@ -57,7 +57,12 @@ def call_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return callgraph.call_findings(nodes, edges, callgraph.longest_chain(edges))
 
 
+def dead_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deadcode.dead_code(derived.code(spark, sf_dir))
+
+
 QUERIES = {
+    "dead_code": dead_code,
     "resolved_imports": resolved_imports,
     "import_cycles": import_cycles,
     "cycle_findings": cycle_findings,
@@ -187,7 +192,77 @@ _RECURSIVE = "' calls itself recursively. Ensure there''s a proper base case and
 _WIDE = "' other functions. High fan-out indicates the function has too many responsibilities.'"
 _SHORT = "regexp_extract(name, '[^.]*$')"
 
+
+def _said(template: str, name: str, other: str | None) -> str:
+    pieces = template.replace("%", "\0%\0").replace("@", "\0@\0").split("\0")
+    return " || ".join(f"({name})" if p == "%" else f"({other})" if p == "@" else quoted(p) for p in pieces if p)
+
+
+def _issue(kind: str, rows: str, name: str = "name", other: str | None = None, severity: str | None = None, sure: str | None = None) -> str:
+    level, confidence, message = deadcode.KINDS[kind]
+    return (
+        f"SELECT path, line_no::INTEGER AS line_no, '{kind}' AS type, {name} AS name, {severity or quoted(str(level))} AS severity, ({sure or confidence})::DOUBLE AS confidence, "
+        f"{_said(message, name, other)} AS message, {_said(deadcode.FIXES[kind], name, None)} AS fix FROM {rows}"
+    )
+
+
+def _dead_sql() -> str:
+    jumps = " OR ".join(f"t = '{w}' OR starts_with(t, '{w} ') OR starts_with(t, '{w};') OR starts_with(t, '{w}(')" for w in deadcode.JUMPS)
+    closes = " OR ".join(f"starts_with(t, '{w}')" for w in deadcode.AFTER_JUMP)
+    plain = "trim(split_part(param, ':', 1))"
+    for mark in deadcode.PARAMETER_MARKS:
+        plain = f"regexp_replace({plain}, '^{mark}', '')"
+    q, x = quoted, lambda pattern, group=1: extract(pattern, group, "line")
+    return rf"""
+WITH {CODE},
+w AS MATERIALIZED (SELECT DISTINCT path, line_no, unnest(regexp_extract_all(line, '\w+')) AS word FROM l),
+li AS MATERIALIZED (SELECT *, min(CASE WHEN contains(line, '{{') THEN line_no END) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN CURRENT ROW AND {deadcode.BLOCK_WITHIN - 1} FOLLOWING) AS opens_at,
+  bool_or(regexp_matches(t, CASE language WHEN 'python' THEN 'class\s+\w+.*\(.*ABC.*\)' ELSE '\binterface\s+\w' END)) OVER (PARTITION BY path) AS interface FROM t),
+p0 AS (SELECT path, line_no, regexp_replace(line, '[^{{}}]', '', 'g') AS marks, string_split_regex(line, '[{{}}]') AS ps FROM l),
+p1 AS (SELECT path, line_no, marks, unnest(generate_series(0, len(ps) - 1)) AS k, unnest(ps) AS piece FROM p0),
+p2 AS (SELECT *, CASE WHEN k < length(marks) THEN substr(marks, k::INTEGER + 1, 1) END AS brace FROM p1),
+p AS MATERIALIZED (SELECT *, row_number() OVER o AS seq, sum((trim(piece, ' ' || chr(9)) <> '')::INTEGER) OVER o AS filled, sum(CASE brace WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END) OVER o AS depth,
+  count(brace) OVER o AS braces FROM p2 WINDOW o AS (PARTITION BY path ORDER BY line_no, k)),
+b0 AS (SELECT *, depth + (brace = '}}')::INTEGER AS level FROM p WHERE brace IS NOT NULL),
+b1 AS (SELECT *, lead(seq) OVER v AS close, lead(filled) OVER v AS close_filled, lead(braces) OVER v AS close_braces FROM b0 WINDOW v AS (PARTITION BY path, level ORDER BY seq)),
+b AS MATERIALIZED (SELECT path, line_no AS opens_at, arg_min(seq, k) AS begin, arg_min(coalesce(close, -1), k) AS "end", arg_min(close_filled = filled AND close_braces = braces + 1, k) AS empty FROM b1 WHERE brace = '{{' GROUP BY path, line_no),
+blocks AS (SELECT * FROM b WHERE "end" <> -1),
+i0 AS (SELECT path, line_no, regexp_replace(trim({x(deadcode.IMPORT)}), ';$', '') AS name FROM l WHERE regexp_matches(line, {q(deadcode.IMPORT)})),
+i AS MATERIALIZED (SELECT *, CASE WHEN regexp_matches(name, {q(deadcode.ALIAS)}) THEN regexp_extract(name, {q(deadcode.ALIAS)}, 2) ELSE regexp_extract(name, '[^.]*$') END AS symbol, max(line_no) OVER (PARTITION BY path) AS last FROM i0 WHERE NOT name LIKE '%.*'),
+m AS MATERIALIZED (SELECT path, line_no, t, interface, {x(deadcode.METHOD)} AS name, trim({x(deadcode.METHOD, 2)}) AS params, begin, "end", empty FROM li JOIN blocks USING (path, opens_at)
+  WHERE regexp_matches(line, {q(deadcode.METHOD)}) AND NOT (contains(line, '=') AND NOT contains(line, '{{'))),
+r0 AS (SELECT path, line_no, name AS method, begin, "end", unnest(list_transform(string_split(params, ','), lambda v: trim(v))) AS param FROM m WHERE NOT starts_with(t, 'override') AND params <> ''),
+r AS MATERIALIZED (SELECT *, CASE WHEN instr(param, ':') > 1 THEN trim({plain}) WHEN regexp_matches(regexp_extract(param, '\S*$'), '^\w+$') THEN regexp_extract(param, '\S*$') END AS name FROM r0),
+pw AS MATERIALIZED (SELECT path, seq, unnest(list_distinct(regexp_extract_all(piece, '\w+'))) AS word FROM p),
+v AS (SELECT path, line_no, {x(deadcode.VARIABLE)} AS name FROM l),
+once AS (SELECT path, word AS name FROM w GROUP BY path, word HAVING count(*) = 1),
+pm AS (SELECT path, line_no, {x(deadcode.PRIVATE_METHOD)} AS name FROM l),
+cl AS MATERIALIZED (SELECT path, line_no, unnest(list_transform(list_filter(regexp_extract_all(line, '(?:fun\s)?\b\w+\s*[(<]'), lambda m: NOT regexp_matches(m, '^fun\s\w')), lambda m: regexp_extract(m, '\w+'))) AS word FROM l),
+cg AS (SELECT path AS called_in, word, min(line_no) AS low, max(line_no) AS high FROM cl GROUP BY path, word),
+f AS (SELECT path, line_no, t, length(line) - length(ltrim(line, ' ' || chr(9))) AS indent FROM t),
+u AS (SELECT *, lag({jumps}) OVER z AS after, lag(indent) OVER z AS was, lag(t) OVER z AS cause FROM f WHERE t <> '' WINDOW z AS (PARTITION BY path ORDER BY line_no)),
+k0 AS (SELECT path, line_no, regexp_matches(trim(substr(t, 3)), {q(deadcode.CODE_LIKE)}) AS code FROM t WHERE starts_with(t, '//')),
+k1 AS (SELECT *, line_no - row_number() OVER (PARTITION BY path ORDER BY line_no) AS run FROM k0),
+k AS (SELECT path, min(line_no) AS line_no, count(*) AS n, count(*) FILTER (code) AS code FROM k1 GROUP BY path, run HAVING count(*) > 3 AND count(*) FILTER (code) >= 2),
+nn AS (SELECT DISTINCT path, {x(deadcode.NON_NULL)} AS name FROM l WHERE regexp_matches(line, {q(deadcode.NON_NULL)}) AND NOT contains(line, {x(deadcode.NON_NULL, 2)} || '?')),
+nc AS (SELECT path, line_no, {x(deadcode.NULL_CHECK)} AS name FROM l),
+c AS (SELECT path, line_no, {x(deadcode.CONDITION)} AS value, CASE WHEN contains(line, 'while') THEN 'while' ELSE 'if' END AS word FROM l)
+{_issue("UNUSED_IMPORT", "i")} WHERE trim(symbol) <> '' AND NOT EXISTS (SELECT 1 FROM w WHERE w.path = i.path AND w.word = i.symbol AND w.line_no > i.last)
+  AND (regexp_matches(symbol, '^\w+$') OR NOT EXISTS (SELECT 1 FROM l WHERE l.path = i.path AND l.line_no > i.last AND contains(l.line, i.symbol) AND regexp_matches(l.line, '\b\Q' || i.symbol || '\E\b')))
+UNION ALL {_issue("UNUSED_VARIABLE", "v SEMI JOIN once USING (path, name)")} WHERE length(name) > 1 AND NOT starts_with(name, '_')
+UNION ALL {_issue("UNUSED_PARAMETER", "r", other="method")} WHERE name <> '' AND NOT starts_with(name, '_') AND NOT EXISTS (SELECT 1 FROM pw WHERE pw.path = r.path AND pw.word = r.name AND pw.seq > r.begin AND pw.seq <= r."end")
+UNION ALL {_issue("UNREACHABLE_CODE", "u", "left(t, 60)", "left(cause, 30)")} WHERE after AND indent >= was AND NOT ({closes})
+UNION ALL {_issue("EMPTY_CATCH", "li JOIN blocks USING (path, opens_at)", "'catch'")} WHERE empty AND (regexp_matches(line, {q(deadcode.CATCH[0])}) OR regexp_matches(line, {q(deadcode.CATCH[1])}))
+UNION ALL {_issue("EMPTY_METHOD", "m")} WHERE empty AND NOT contains(t, 'abstract ') AND (NOT interface OR contains(t, '{{'))
+UNION ALL {_issue("COMMENTED_CODE", "k", "'comment-block'", "n", sure="greatest(0.5, least(0.9, code::DOUBLE / n))")}
+UNION ALL {_issue("UNUSED_PRIVATE_METHOD", "pm LEFT JOIN cg ON called_in = path AND word = name")} WHERE name <> '' AND (word IS NULL OR low = high AND low = line_no)
+UNION ALL {_issue("REDUNDANT_NULL_CHECK", "nc SEMI JOIN nn USING (path, name)")} WHERE name <> ''
+UNION ALL {_issue("DEAD_CONDITIONAL", "c", "word || '(' || value || ')'", "value", "CASE value WHEN 'false' THEN 'WARNING' ELSE 'INFO' END")} WHERE value <> '' AND NOT (word = 'while' AND value = 'true')
+"""
+
+
 ORACLES = {
+    "dead_code": _dead_sql(),
     "resolved_imports": f"WITH {CODE}, {IMPORTS}, {RESOLVED} SELECT path, line_no, target, resolved, how FROM resolved",
     "import_cycles": f"WITH RECURSIVE {CODE}, {IMPORTS}, {RESOLVED}, {CYCLES} SELECT cycle_id, length, chain FROM told",
     "cycle_findings": f"""WITH RECURSIVE {CODE}, {IMPORTS}, {RESOLVED}, {CYCLES}

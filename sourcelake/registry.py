@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sourcelake import code_queries
 from sourcelake.functions import text as tx
-from sourcelake.operators import deadcode, drift, duplicates, graphs, methods, naming, review, scan, security, thresholds
+from sourcelake.operators import drift, duplicates, graphs, methods, naming, review, scan, security, thresholds
 from sourcelake.sinks import reports
 from sourcelake.session import cut_lineage
 from sourcelake.sources import corpus, derived
@@ -151,10 +151,6 @@ def naming_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return naming.naming_findings(derived.code(spark, sf_dir))
 
 
-def dead_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deadcode.dead_code(derived.code(spark, sf_dir))
-
-
 def drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of documents and pages as the baseline, of documents and turns as the current state."""
     docs = corpus.documents(spark, sf_dir)
@@ -194,7 +190,6 @@ QUERIES = {
     "code_limits": code_limits,
     "text_complexity": text_complexity,
     "naming_findings": naming_findings,
-    "dead_code": dead_code,
     "drift_report": drift_report,
     "sarif_results": sarif_results,
     **code_queries.QUERIES,
@@ -303,30 +298,8 @@ WHERE (language IN ({listed(naming.PASCAL_FILES)}) AND NOT regexp_matches(stem,
 """
 
 
-def _dead_sql() -> str:
-    jumps = " OR ".join(f"t = '{w}' OR starts_with(t, '{w} ') OR starts_with(t, '{w};') OR starts_with(t, '{w}(')" for w in deadcode.JUMPS)
-    closes = " OR ".join(f"starts_with(t, '{w}')" for w in deadcode.AFTER_JUMP)
-    return rf"""
-WITH code AS ({derived.code_sql()}),
-l AS (SELECT path, unnest(generate_series(1, len(s))) AS line_no, unnest(s) AS line FROM
-  (SELECT path, string_split(regexp_replace(text, '\n\z', ''), chr(10)) AS s FROM code)),
-d AS (SELECT path, line_no, 'UNUSED_VARIABLE' AS type, regexp_extract(line, {_quoted(deadcode.VARIABLE)}, 1) AS name FROM l
-  UNION ALL SELECT path, line_no, 'UNUSED_PRIVATE_METHOD', regexp_extract(line, {_quoted(deadcode.PRIVATE_METHOD)}, 1) FROM l),
-w AS (SELECT path, name FROM (SELECT path, line_no, unnest(list_distinct(regexp_extract_all(line, '\w+'))) AS name FROM l) GROUP BY path, name HAVING count(*) = 1),
-f AS (SELECT path, line_no, trim(line, ' ' || chr(9)) AS t, length(line) - length(ltrim(line, ' ' || chr(9))) AS indent FROM l),
-p AS (SELECT *, lag({jumps}) OVER (PARTITION BY path ORDER BY line_no) AS after, lag(indent) OVER (PARTITION BY path ORDER BY line_no) AS was FROM f WHERE t <> ''),
-c AS (SELECT path, line_no, regexp_extract(line, {_quoted(deadcode.CONDITION)}, 1) AS value, CASE WHEN contains(line, 'while') THEN 'while' ELSE 'if' END AS word FROM l)
-SELECT path, line_no::INTEGER AS line_no, type, name, 'WARNING' AS severity, 0.8::DOUBLE AS confidence FROM d SEMI JOIN w USING (path, name)
-WHERE length(name) > 1 AND (type <> 'UNUSED_VARIABLE' OR NOT starts_with(name, '_'))
-UNION ALL SELECT path, line_no, 'UNREACHABLE_CODE', left(t, 60), 'WARNING', 0.85 FROM p WHERE after AND indent >= was AND NOT ({closes})
-UNION ALL SELECT path, line_no, 'DEAD_CONDITIONAL', word || '(' || value || ')', CASE value WHEN 'false' THEN 'WARNING' ELSE 'INFO' END, 0.95
-FROM c WHERE value <> '' AND NOT (word = 'while' AND value = 'true')
-"""
-
-
 ORACLES = {
     **code_queries.ORACLES,
-    "dead_code": _dead_sql(),
     "naming_findings": _naming_sql(),
     "drift_report": f"""{_WITH}, f AS (SELECT type || ':' || path || ':' || line_no AS fingerprint, min(severity) AS severity, any_value(path) AS path FROM findings GROUP BY 1)
 SELECT fingerprint, severity, CASE WHEN path LIKE 'page%' THEN 'resolved' ELSE 'new' END AS state FROM f WHERE path NOT LIKE 'doc%'""",

@@ -156,6 +156,7 @@ _JVM = [
         "    // if (old > 0) {",
         "    //     return old;",
         "    // plain words",
+        "    // old += 2;",
         "    fun total@x(items: List<Int>): Int {",
         "        var out = \"\"",
         "        for (item in items) {",
@@ -191,6 +192,13 @@ _JVM = [
         "    }",
         "    fun nothing() { }",
         "    protected fun finalize() { }",
+        "    val shown: String = \"s\"",
+        "    var maybe: String? = null",
+        "    if (shown != null) { print(maybe) }",
+        "    private fun solo@x(one: Int, vararg two: Int, _three: Int)",
+        "    {",
+        "    }",
+        "    override fun told(four: Int) { }",
     ]),
     ("k % 30 = 13", [line for i in range(1, 12) for line in (f"    fun tier{i}(v: Int) {{", f"        tier{i + 1}(v)", "    }")]),
     ("k % 30 = 13", ["    fun tier12(v: Int) { }", "    fun tiers() {"] + [f"        tier{i}(1)" for i in range(1, 10)] + ["    }"]),

@@ -60,4 +60,4 @@ def test_dead_code(spark):
     text = "fun a(): Int {\n    val used = 1\n    val lost = 2\n    val _kept = 3\n    return used\n\n    println(1)\n}\nprivate fun alone() {}\nif (false) { }\nwhile (true) { }\nreturn\n}"
     files = spark.createDataFrame([("a.kt", "kotlin", text), ("b.kt", "kotlin", None)], "path string, language string, text string")
     got = {(r["type"], r["name"], r["line_no"]) for r in deadcode.dead_code(files).collect()}
-    assert got == {("UNUSED_VARIABLE", "lost", 3), ("UNREACHABLE_CODE", "println(1)", 7), ("UNUSED_PRIVATE_METHOD", "alone", 9), ("DEAD_CONDITIONAL", "if(false)", 10)}
+    assert got == {("UNUSED_VARIABLE", "lost", 3), ("UNREACHABLE_CODE", "println(1)", 7), ("UNUSED_PRIVATE_METHOD", "alone", 9), ("EMPTY_METHOD", "alone", 9), ("DEAD_CONDITIONAL", "if(false)", 10)}
