@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sourcelake import code_queries
+from sourcelake import code_queries, pattern_queries
 from sourcelake.functions import text as tx
 from sourcelake.operators import drift, duplicates, graphs, methods, naming, review, scan, security, thresholds
 from sourcelake.sinks import reports
@@ -40,6 +40,11 @@ def security_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings(spark, sf_dir)
 
 
+def code_security(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fourteen types over rendered code, which has each of them."""
+    return security.security_findings(derived.code(spark, sf_dir))
+
+
 def security_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return security.crosstab(findings(spark, sf_dir))
 
@@ -171,6 +176,7 @@ QUERIES = {
     "scan_lines": scan_lines,
     "language_histogram": language_histogram,
     "security_findings": security_findings,
+    "code_security": code_security,
     "security_crosstab": security_crosstab,
     "review_gate": review_gate,
     "review_categories": review_categories,
@@ -193,22 +199,25 @@ QUERIES = {
     "drift_report": drift_report,
     "sarif_results": sarif_results,
     **code_queries.QUERIES,
+    **pattern_queries.QUERIES,
 }
 
 # -- the same in SQL ---------------------------------------------------------
 
-_FILES = r"""
+_RAW = r"""
 raw AS (
   SELECT 'doc_' || doc_id AS path, lang AS language, text FROM documents
   UNION ALL SELECT 'page_' || page_id, 'javascript', replace(html, '>', '>' || chr(10)) FROM pages
   UNION ALL SELECT 'conv_' || conv_id || '_' || turn, role, text FROM conversations
-), files AS (
+), """
+_LINES = r"""files AS (
   SELECT path, language, CASE WHEN coalesce(text, '') = '' THEN []
     ELSE string_split_regex(regexp_replace(text, '(\r\n|\r|\n)\z', ''), '\r\n|\r|\n') END AS lines FROM raw
 ), lines AS (
   SELECT path, unnest(generate_series(1, len(lines))) AS line_no, unnest(lines) AS line FROM files
 ), trimmed AS (SELECT *, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(160)) AS t FROM lines)
 """
+_FILES = _RAW + _LINES
 
 
 def _quoted(text: str) -> str:
@@ -231,6 +240,9 @@ def _rule_sql(rule: security.Rule) -> str:
     sure = str(rule.confidence)
     if rule.surer[0]:
         sure = f"CASE WHEN {_matches(rule.surer[0])} THEN {rule.surer[1]} ELSE {sure} END"
+    if rule.type == "HARDCODED_SECRET":
+        marks = [f"contains(lower(path), {_quoted(m)})" for m in security.TEST_MARKS] + [f"ends_with(lower(path), {_quoted(m)})" for m in security.TEST_ENDS]
+        sure = f"CASE WHEN {' OR '.join(marks)} THEN 0.4 ELSE {sure} END"
     if rule.type == "SQL_INJECTION":
         sure = f"CASE WHEN message = {_quoted(rule.patterns[-1][1])} THEN {security.WEAK_SQL} ELSE {sure} END"
     where = ["true"]
@@ -266,7 +278,20 @@ FROM (SELECT path, line_no, line, bool_or(regexp_matches(line, {_quoted(security
     (PARTITION BY path ORDER BY line_no ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS near FROM lines)
 WHERE {_matches(security.RANDOM)}
 """
-_FINDINGS = "findings AS (" + "\nUNION ALL ".join([_rule_sql(r) for r in security.RULES] + [_IP_SQL, _RANDOM_SQL]) + ")"
+_AUTH_SQL = f"""
+SELECT path, line_no, 'MISSING_AUTH' AS type, 'CWE-306' AS cwe, 'WARNING' AS severity, 0.7::DOUBLE AS confidence,
+  'Endpoint mapping without authentication annotation. Ensure this endpoint is intentionally public.' AS message
+FROM (SELECT path, line_no, line, bool_or({_matches(security.CONTROLLER)}) OVER p AS controller, bool_or(starts_with(t, '@') AND {_matches(security.AUTH)} AND NOT {_matches(security.ENDPOINT)}) OVER p AS guarded,
+    coalesce(bool_or({_matches(security.AUTH)}) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), false) AS near FROM trimmed WINDOW p AS (PARTITION BY path))
+WHERE controller AND NOT guarded AND NOT near AND {_matches(security.ENDPOINT)}
+"""
+_XXE_SQL = f"""
+SELECT path, line_no, 'XXE' AS type, 'CWE-611' AS cwe, 'ERROR' AS severity, 0.7::DOUBLE AS confidence,
+  'XML parser factory created without disabling external entities. This may allow XXE attacks.' AS message
+FROM (SELECT path, line_no, line, coalesce(bool_or({_matches(security.XML_SAFE)}) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING), false) AS safe FROM lines)
+WHERE NOT safe AND {_matches(security.XML_FACTORY)}
+"""
+_FINDINGS = "findings AS (" + "\nUNION ALL ".join([_rule_sql(r) for r in security.RULES] + [_IP_SQL, _RANDOM_SQL, _AUTH_SQL, _XXE_SQL]) + ")"
 _WITH = f"WITH {_FILES}, {_FINDINGS}"
 _COUNTS = "count(*) FILTER (severity = 'ERROR') AS errors, count(*) FILTER (severity = 'WARNING') AS warnings, count(*) FILTER (severity = 'INFO') AS infos"
 
@@ -300,6 +325,7 @@ WHERE (language IN ({listed(naming.PASCAL_FILES)}) AND NOT regexp_matches(stem,
 
 ORACLES = {
     **code_queries.ORACLES,
+    **pattern_queries.ORACLES,
     "naming_findings": _naming_sql(),
     "drift_report": f"""{_WITH}, f AS (SELECT type || ':' || path || ':' || line_no AS fingerprint, min(severity) AS severity, any_value(path) AS path FROM findings GROUP BY 1)
 SELECT fingerprint, severity, CASE WHEN path LIKE 'page%' THEN 'resolved' ELSE 'new' END AS state FROM f WHERE path NOT LIKE 'doc%'""",
@@ -309,6 +335,7 @@ FROM trimmed GROUP BY path""",
     "language_histogram": f"""WITH {_FILES}
 SELECT language, count(*) AS files, sum(len(lines))::BIGINT AS lines, round(count(*) * 100 / (SELECT count(*) FROM files), 2) AS percent FROM files GROUP BY language""",
     "security_findings": f"{_WITH} SELECT path, line_no::INTEGER AS line_no, type, cwe, severity, confidence, message FROM findings",
+    "code_security": f"WITH raw AS ({derived.code_sql()}), {_LINES}, {_FINDINGS} SELECT path, line_no::INTEGER AS line_no, type, cwe, severity, confidence, message FROM findings",
     "sure_errors": f"{_WITH} SELECT path, line_no::INTEGER AS line_no, type, cwe, severity, confidence, message FROM findings WHERE severity = 'ERROR' AND confidence >= 0.9",
     "security_crosstab": f"""{_WITH}
 SELECT CASE WHEN grouping(type) = 1 THEN 'TOTAL' ELSE type END AS type, count(*) FILTER (severity = 'ERROR') AS error,

@@ -271,7 +271,7 @@ def code_sql(orders: str = "orders") -> str:
                 "WHEN 11 THEN 'typescript' ELSE 'kotlin' END")
     suffix = "CASE language WHEN 'java' THEN '.java' WHEN 'python' THEN '.py' WHEN 'typescript' THEN '.ts' ELSE '.kt' END"
     return f"""
-SELECT 'src/' || d || '/' || CASE WHEN k % 5 = 0 THEN 'order_' ELSE 'Order' END || k || {suffix} AS path,
+SELECT 'src/' || d || '/' || CASE WHEN k % 5 = 0 THEN 'order_' ELSE 'Order' END || k || CASE WHEN k % 61 = 7 THEN 'Service' ELSE '' END || {suffix} AS path,
        language,
        CASE language WHEN 'python' THEN {_render('python')}
                      WHEN 'typescript' THEN {_render('script')}

@@ -70,3 +70,24 @@ def test_graphs(spark, tmp_path):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("x", "a"), ("d", "d")], "src string, dst string")
     got = {r["module"]: (r["ca"], r["ce"]) for r in graphs.coupling(edges).collect()}
     assert got == {"a": (2, 1), "b": (1, 1), "c": (1, 2), "d": (1, 0), "x": (0, 1)}
+
+
+def test_long_lines(spark):
+    """A line of a million characters takes no longer than its length asks for."""
+    import time
+
+    n = 500_000
+    lines = ['select ' + '"' * n, "password = \"abcdef\" " + "<" * n, "select + " + '"' * n, "{" * n + ' token = "abcdef"', "exec(" * (n // 5), '"select ' * (n // 8)]
+    files = spark.createDataFrame([(str(i), "kotlin", x) for i, x in enumerate(lines)], "path string, language string, text string")
+    security.security_findings(files.where("path = 'none'")).collect()
+    began = time.time()
+    got = {(r["path"], r["type"]) for r in security.security_findings(files).collect()}
+    assert got == {("1", "HARDCODED_SECRET"), ("2", "SQL_INJECTION"), ("3", "HARDCODED_SECRET")} and time.time() - began < 20
+
+
+def test_placeholders(spark):
+    """Secrets beside something in braces or angles are examples."""
+    kept = ['password = "hunter22"', 'password = "a<b"', 'password = "a<>b"', 'password = "{}x"']
+    dropped = ['password = "<secret>"', 'password = "{value}"', 'password = "<x<>"', 'password = "<<>"', 'password = "{a{}"']
+    files = spark.createDataFrame([(x, "kotlin", x) for x in kept + dropped], "path string, language string, text string")
+    assert {r["path"] for r in security.security_findings(files).collect()} == set(kept)
