@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sourcelake import code_queries, pattern_queries
+from sourcelake import code_queries, memory_queries, pattern_queries
 from sourcelake.functions import text as tx
 from sourcelake.operators import drift, duplicates, graphs, methods, naming, review, scan, security, thresholds
 from sourcelake.sinks import reports
@@ -200,6 +200,7 @@ QUERIES = {
     "sarif_results": sarif_results,
     **code_queries.QUERIES,
     **pattern_queries.QUERIES,
+    **memory_queries.QUERIES,
 }
 
 # -- the same in SQL ---------------------------------------------------------
@@ -326,6 +327,7 @@ WHERE (language IN ({listed(naming.PASCAL_FILES)}) AND NOT regexp_matches(stem,
 ORACLES = {
     **code_queries.ORACLES,
     **pattern_queries.ORACLES,
+    **memory_queries.ORACLES,
     "naming_findings": _naming_sql(),
     "drift_report": f"""{_WITH}, f AS (SELECT type || ':' || path || ':' || line_no AS fingerprint, min(severity) AS severity, any_value(path) AS path FROM findings GROUP BY 1)
 SELECT fingerprint, severity, CASE WHEN path LIKE 'page%' THEN 'resolved' ELSE 'new' END AS state FROM f WHERE path NOT LIKE 'doc%'""",
