@@ -9,11 +9,16 @@ threshold, their standard deviation, form clusters.  The region with most of
 the clusters' text is the main text: an article or main element, or the deepest
 container that holds nearly all of it, with its short blocks too; if only the
 body holds it, the clusters themselves.
+
+A class, an id or a form can stand around a whole article.  If leaving such
+elements out leaves next to nothing, the page is read again with those kept that
+hold an article or main element, or else the outermost that holds most of the text.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -21,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourcelake.llm.common import chunks
+from sourcelake.llm.common import chunks, in_batches
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
@@ -46,18 +51,37 @@ SIGMA, RADIUS = 1.0, 2
 MOST = 0.9
 #: Blocks under the threshold that don't part a cluster.
 GAP = 2
+#: Elements that may hold a whole article although they are left out otherwise.
+WRAPPERS = frozenset(("form", "fieldset"))
+#: A page that keeps a smaller share of its text is read again with wrappers kept.
+LEAST = 0.05
+#: Nested wrappers that are tried one by one.
+TRIES = 8
 
 
 class Blocks(HTMLParser):
-    """Parser events to blocks: (text, tags, containers that are open, outermost first)."""
+    """Parser events to blocks: (text, tags, innermost container that is open or -1).
+
+    Containers and wrappers are numbered as they begin, so what lies inside one has
+    the numbers from its own to the last begun in it.  ``kept``: wrappers that are
+    read like any element.
+    """
 
-    def __init__(self):
+    def __init__(self, kept: frozenset[int] = frozenset()):
         super().__init__(convert_charrefs=True)
-        self.blocks: list[tuple[str, int, tuple[int, ...]]] = []
-        self.tag_of: list[str] = []  # of each container
-        self.stack: list[tuple[str, bool, int]] = []  # tag, out of content, container or -1
+        self.kept = kept
+        self.blocks: list[tuple[str, int, int]] = []
+        self.tag_of: list[str] = []  # of each container, and the one around it
+        self.parent: list[int] = []
+        self.around: list[int] = []  # of each wrapper, the one around it, its own text, and whether it holds an article
+        self.wrapped: list[int] = []
+        self.article: list[bool] = []
+        self.stack: list[tuple[str, bool, int, int]] = []  # tag, out of content, container or -1, wrapper or -1
+        self.open: Counter[str] = Counter()  # tags on the stack
         self.out = 0
+        self.hard = 0
         self.path: list[int] = []
+        self.wrappers: list[int] = []
         self.held: list[str] = []
         self.tags = 0
 
@@ -66,20 +90,26 @@ class Blocks(HTMLParser):
             text = " ".join("".join(self.held).split())
             self.held = []
             if text:
-                self.blocks.append((text, max(1, self.tags), tuple(self.path)))
+                self.blocks.append((text, max(1, self.tags), self.path[-1] if self.path else -1))
                 self.tags = 0
 
     def pop(self) -> str:
-        tag, out, container = self.stack.pop()
+        tag, out, container, wrapper = self.stack.pop()
+        self.open[tag] -= 1
         self.out -= out
+        self.hard -= out and wrapper < 0
         if container >= 0:
             self.path.pop()
+        if wrapper >= 0:
+            self.wrappers.pop()
         return tag
 
     def close_open(self, tags: frozenset | set) -> None:
         """Close the innermost of these elements, unless a container lies between."""
+        if not any(self.open[tag] for tag in tags):
+            return
         for k in range(len(self.stack) - 1, -1, -1):
-            tag, _, container = self.stack[k]
+            tag, _, container, _ = self.stack[k]
             if tag in tags:
                 while len(self.stack) > k:
                     self.pop()
@@ -98,7 +128,17 @@ class Blocks(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        out = tag in NEVER or self.marked(tag, attrs)
+        hard, soft = tag in NEVER and tag not in WRAPPERS or self.hidden(tag, attrs), tag in WRAPPERS or self.marked(tag, attrs)
+        wrapper = -1
+        if soft and not hard and not self.hard:
+            wrapper = len(self.around)
+            self.around.append(self.wrappers[-1] if self.wrappers else -1)
+            self.wrapped.append(0)
+            self.article.append(False)
+            self.wrappers.append(wrapper)
+        elif tag in ("article", "main") and self.wrappers and not self.hard and not self.named(attrs):
+            self.article[self.wrappers[-1]] = True
+        out = hard or soft and wrapper not in self.kept
         if out and tag in INLINE and not self.out:
             self.flush()
         container = -1
@@ -106,18 +146,25 @@ class Blocks(HTMLParser):
             container = len(self.tag_of)
             self.tag_of.append(tag)
             self.path.append(container)
-        self.stack.append((tag, out, container))
+            self.parent.append(self.path[-2] if len(self.path) > 1 else -1)
+        self.stack.append((tag, out, container, wrapper))
+        self.open[tag] += 1
         self.out += out
+        self.hard += out and wrapper < 0
 
     @staticmethod
-    def marked(tag: str, attrs: list) -> bool:
+    def named(attrs: list) -> bool:
+        return any(w.lower() in MARKS for name, value in attrs if name in ("class", "id") for w in WORD.findall(value or ""))
+
+    def marked(self, tag: str, attrs: list) -> bool:
+        return tag not in ("html", "body", "main", "article") and (self.named(attrs) or any(name == "role" and value in ROLES for name, value in attrs))
+
+    @staticmethod
+    def hidden(tag: str, attrs: list) -> bool:
         if tag in ("html", "body", "main", "article"):
             return False
         for name, value in attrs:
-            if name in ("class", "id"):
-                if any(w.lower() in MARKS for w in WORD.findall(value or "")):
-                    return True
-            elif name == "hidden" or name == "role" and value in ROLES or name == "aria-hidden" and value == "true":
+            if name == "hidden" or name == "aria-hidden" and value == "true":
                 return True
             elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value or ""):
                 return True
@@ -132,6 +179,8 @@ class Blocks(HTMLParser):
         if tag not in INLINE:
             self.flush()
         self.tags += 1
+        if not self.open[tag]:
+            return
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == tag:
                 while len(self.stack) > k:
@@ -143,6 +192,8 @@ class Blocks(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.out:
             self.held.append(data)
+        if self.wrappers and not self.hard:
+            self.wrapped[self.wrappers[-1]] += len("".join(data.split()))
 
 
 def smoothed(ratio: np.ndarray) -> np.ndarray:
@@ -151,32 +202,68 @@ def smoothed(ratio: np.ndarray) -> np.ndarray:
     return full(ratio) / full(np.ones(len(ratio)))
 
 
-def main_text(html: str) -> str:
-    """Blocks of the main text, joined by line ends; empty if there is none."""
-    parser = Blocks()
+def read(html: str, kept: frozenset[int] = frozenset()) -> Blocks:
+    parser = Blocks(kept)
     parser.feed(html)
     parser.close()
     parser.flush()
+    return parser
+
+
+def summed(own: list[int], parent: list[int]) -> list[int]:
+    """Of each element, its own and what is inside it; a parent has a smaller number than its children."""
+    total = list(own)
+    for c in range(len(total) - 1, -1, -1):
+        if parent[c] >= 0:
+            total[parent[c]] += total[c]
+    return total
+
+
+def main_text(html: str) -> str:
+    """Blocks of the main text, joined by line ends; empty if there is none."""
+    parser, kept = read(html), frozenset()
+    for turn in range(TRIES + 1):
+        left = sum(len(b[0]) for b in parser.blocks)
+        inside = summed(parser.wrapped, parser.around)
+        wrapped = sum(n for n, up in zip(inside, parser.around, strict=True) if up < 0)
+        if left >= LEAST * (left + wrapped) or not wrapped:
+            break
+        holds = [bool(n) for n in summed([int(x) for x in parser.article], parser.around)]
+        large = [n > wrapped / 2 for n in inside]
+        more = [c for c, yes in enumerate(holds if any(holds) else large) if yes and c not in kept]
+        if not more:
+            break
+        kept |= set(more if any(holds) or turn == TRIES else more[:1])
+        parser = read(html, kept)
+    return chosen(parser)
+
+
+def chosen(parser: Blocks) -> str:
     blocks = parser.blocks
     if not blocks:
         return ""
     chars = np.array([len(b[0]) for b in blocks])
     ratio = smoothed(chars / np.array([b[1] for b in blocks]))
     content = ratio >= min(ratio.std(), ratio.max())
-    weight: dict[int, int] = {}
-    for (_, _, path), n, on in zip(blocks, chars.tolist(), content.tolist(), strict=True):
-        if on:
-            for c in path:
-                weight[c] = weight.get(c, 0) + n
+    own, last = [0] * len(parser.tag_of), list(range(len(parser.tag_of)))
+    for (_, _, c), n, on in zip(blocks, chars.tolist(), content.tolist(), strict=True):
+        if on and c >= 0:
+            own[c] += n
+    weight = summed(own, parser.parent)
+    for c in range(len(last) - 1, -1, -1):  # the last container begun inside
+        if parser.parent[c] >= 0:
+            last[parser.parent[c]] = max(last[parser.parent[c]], last[c])
     total = int(chars[content].sum())
-    named = [c for c in weight if parser.tag_of[c] in ("article", "main")]
+    named = [c for c, n in enumerate(weight) if n and parser.tag_of[c] in ("article", "main")]
     if named:
-        # the first of those with the most text: the outermost of nested ones
+        # the first of those with the most text: the outermost of nested ones, and articles beside it
         region = max(named, key=lambda c: (weight[c], -c))
+        regions = [c for c in named if c == region or parser.tag_of[c] == parser.tag_of[region] == "article" and parser.parent[c] == parser.parent[region]]
     else:
-        region = max((c for c, n in weight.items() if n >= MOST * total), default=-1)
+        region = max((c for c, n in enumerate(weight) if n and n >= MOST * total), default=-1)
+        regions = [region]
     if region >= 0 and parser.tag_of[region] not in ("html", "body"):
-        return "\n".join(b[0] for b in blocks if region in b[2])
+        return "\n".join(b[0] for b in blocks if any(r <= b[2] <= last[r] for r in regions))
     on = np.flatnonzero(content).tolist()
     keep = set(on)
     for a, b in zip(on[:-1], on[1:], strict=True):
@@ -208,4 +295,4 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     import pyarrow.compute  # noqa: F401
 
     rows = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return in_batches(rows).mapInArrow(run, "page_id long, url string, text string, n_chars long")

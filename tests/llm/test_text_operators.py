@@ -130,6 +130,40 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+ARTICLE = "<p>" + "A long article with many words in it. " * 20 + "</p>"
+TEXT = ("A long article with many words in it. " * 20).strip()
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        (f'<div class="content has-sidebar">{ARTICLE}</div>', TEXT),
+        (f'<div id="search-results-story">{ARTICLE}</div>', TEXT),
+        (f'<form id="aspnetForm"><div class="nav">menu</div><div>{ARTICLE}</div><select><option>x</select></form>', TEXT),
+        (f'<form><div class="login"><div class="ad-free">{ARTICLE}</div></div></form>', TEXT),
+        (f'<div class="ad-free-page"><article>{ARTICLE}</article></div>', TEXT),
+        (f"<main><article>{ARTICLE}</article><article>{ARTICLE}</article></main>", f"{TEXT}\n{TEXT}"),
+        (f"<article>{ARTICLE}</article><article>{ARTICLE}</article>", f"{TEXT}\n{TEXT}"),
+        # what is left out stays out where the rest is the article
+        (f'<div>{ARTICLE}</div><div class="sidebar">{ARTICLE}</div><div class="comments"><article class="comment">{ARTICLE}</article></div>', TEXT),
+        (f'<form hidden>{ARTICLE}</form><div class="comments">{ARTICLE}</div><article><p>Short.</p>{ARTICLE}</article>', f"Short.\n{TEXT}"),
+    ],
+)
+def test_wrapped_articles(html, text):
+    assert html_text.main_text(f"<html><body>{html}</body></html>") == text
+
+
+def test_deep_and_long_pages():
+    import time
+
+    began = time.time()
+    for page in ("<div>some text " * 20_000, "<div class=ad>some text " * 5_000, "<x>a" * 20_000, "<p>" * 20_000 + "</y>" * 20_000, "<b>" * 20_000 + "end" + "</b>" * 20_000, "<p>" + "word " * 400_000):
+        html_text.main_text(page)
+    # the deepest container with nine tenths of the text is the region
+    assert html_text.main_text("<div>some text " * 3000).split("\n") == ["some text"] * 2700
+    assert time.time() - began < 30
+
+
 def test_extract_rows(spark):
     rows = [(1, "u", "<article><p>a</p></article>", "x"), (None, None, None, "y"), (1, "u", "<article><p>a</p></article>", "x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
