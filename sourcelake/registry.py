@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sourcelake import code_queries, memory_queries, pattern_queries
+from sourcelake import code_queries, memory_queries, pattern_queries, project_queries
 from sourcelake.functions import text as tx
 from sourcelake.operators import drift, duplicates, graphs, methods, naming, review, scan, security, thresholds
 from sourcelake.sinks import reports
@@ -201,6 +201,7 @@ QUERIES = {
     **code_queries.QUERIES,
     **pattern_queries.QUERIES,
     **memory_queries.QUERIES,
+    **project_queries.QUERIES,
 }
 
 # -- the same in SQL ---------------------------------------------------------
@@ -371,3 +372,4 @@ SELECT user_id, burst::BIGINT AS burst, count(*) AS edits, max(ts) AS analysed_a
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review_categories(spark, sf_dir)
+ORACLES |= project_queries.oracles(ORACLES)
