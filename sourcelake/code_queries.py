@@ -263,6 +263,7 @@ UNION ALL {_issue("DEAD_CONDITIONAL", "c", "word || '(' || value || ')'", "value
 
 ORACLES = {
     "dead_code": _dead_sql(),
+    "code_imports": f"WITH {CODE}, {IMPORTS} SELECT path, target, line_no FROM i WHERE target IS NOT NULL",
     "resolved_imports": f"WITH {CODE}, {IMPORTS}, {RESOLVED} SELECT path, line_no, target, resolved, how FROM resolved",
     "import_cycles": f"WITH RECURSIVE {CODE}, {IMPORTS}, {RESOLVED}, {CYCLES} SELECT cycle_id, length, chain FROM told",
     "cycle_findings": f"""WITH RECURSIVE {CODE}, {IMPORTS}, {RESOLVED}, {CYCLES}

@@ -117,6 +117,8 @@ _FILE_RULES = " UNION ALL ".join(_rule(p, r) for p in built_in() for r in p.rule
 _FILE_LAYERS = " UNION ALL ".join(f"SELECT path, {quoted(p.name)} AS pattern, coalesce({_layer(p.layers)}, 'Unassigned') AS layer FROM code" for p in built_in() if p.layers)
 
 ORACLES = {
+    "code_scan": f"""WITH {CODE}, {IMPORTS}, {_FACTS}
+SELECT path, language, class_name, methods::INTEGER AS method_count, lines::INTEGER AS line_count, interface AS is_interface, imported::INTEGER AS n_imports FROM sized JOIN code USING (path) JOIN f USING (path)""",
     "pattern_findings": f"WITH {CODE}, {IMPORTS}, {_FACTS} {_FILE_RULES}",
     "file_layers": f"WITH {CODE} {_FILE_LAYERS}",
 }
