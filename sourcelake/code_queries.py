@@ -188,7 +188,7 @@ layer AS MATERIALIZED (SELECT node, max(d) AS d FROM depths GROUP BY node),
 walk AS (SELECT 1 AS pos, min(node) AS node, max(d) AS d FROM layer WHERE d = (SELECT max(d) FROM layer) HAVING count(*) > 0
   UNION ALL SELECT pos + 1, min(y.node), any_value(y.d) FROM walk w JOIN dag ON dag.src = w.node JOIN layer y ON y.node = dag.dst AND y.d = w.d - 1 GROUP BY pos)
 """
-_RECURSIVE = "' calls itself recursively. Ensure there''s a proper base case and the recursion depth is bounded.'"
+_RECURSIVE = "''' calls itself recursively. Ensure there''s a proper base case and the recursion depth is bounded.'"
 _WIDE = "' other functions. High fan-out indicates the function has too many responsibilities.'"
 _SHORT = "regexp_extract(name, '[^.]*$')"
 
