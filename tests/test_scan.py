@@ -1,8 +1,10 @@
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from sourcelake.functions import text as tx
 from sourcelake.operators import methods, scan
-from sourcelake.sources import corpus
+from sourcelake.sources import corpus, derived
 
 KOTLIN = """package a
 import com.x.Order
@@ -108,3 +110,17 @@ def test_read_tree_keeps_hidden_names(spark, tmp_path, folder, monkeypatch):
 def test_lines(spark):
     files = spark.createDataFrame([("a", "x", "one\r\ntwo\n\n"), ("b", "x", ""), ("c", "x", None)], "path string, language string, text string")
     assert [(r["line_no"], r["line"]) for r in tx.explode_lines(files).collect()] == [(1, "one"), (2, "two"), (3, "")]
+
+
+def test_rendered_code_is_dealt_out_by_path(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    files = derived.code(spark, sf)
+    assert files.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism  # orders are one split
+    monkeypatch.setattr(derived, "FILES", 100)
+    assert derived.code(spark, sf).rdd.getNumPartitions() == 15
+    plain = spark.read.parquet(f"{sf}/orders.parquet")
+    plain.createOrReplaceTempView("plain_orders")
+    want = spark.sql(derived.code_sql("plain_orders"))
+    assert sorted(map(tuple, files.collect())) == sorted(map(tuple, want.collect()))
+    ordered = tx.explode_lines(files).select(F.row_number().over(Window.partitionBy("path").orderBy("line_no")))
+    assert ordered._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
