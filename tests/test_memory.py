@@ -81,3 +81,9 @@ def test_listeners_and_others(spark):
 
 def test_nothing(spark):
     assert memory.memory_findings(spark.createDataFrame([], "path string, language string, text string")).collect() == []
+
+
+def test_lines_are_held_in_columns(spark):
+    files = spark.createDataFrame([("A.kt", "kotlin", "val a = 1\n" * 50)], "path string, language string, text string")
+    plan = memory.memory_findings(files)._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan and "parquet" in plan.lower()
