@@ -124,3 +124,15 @@ def test_rendered_code_is_dealt_out_by_path(spark, monkeypatch):
     assert sorted(map(tuple, files.collect())) == sorted(map(tuple, want.collect()))
     ordered = tx.explode_lines(files).select(F.row_number().over(Window.partitionBy("path").orderBy("line_no")))
     assert ordered._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_lines_split_at_every_terminator(spark):
+    texts = {"": [], "\n": [""], "a\n": ["a"], "a\n\n": ["a", ""], "a\r\nb\rc\n": ["a", "b", "c"], "a\nb": ["a", "b"], "ä\n\r": ["ä", ""]}
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert {r["text"]: r["l"] for r in df.select("text", tx.split_lines(df["text"]).alias("l")).collect()} == texts
+
+
+def test_lines_are_trimmed_once(spark):
+    files = spark.createDataFrame([("a.kt", "kotlin", "class A {\n}")], "path string, language string, text string")
+    plan = scan.scan_files(files)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("transform(lines") == 1
