@@ -25,8 +25,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by a five-word Jaccard similarity of 0.8, the row with the smallest doc_id stays."""
-    return near_copies.drop_near_copies(docs)
+    """Of texts linked by fingerprints two bits apart at most, or by a five-word Jaccard similarity of 0.8, the row with the smallest doc_id stays."""
+    return near_copies.drop_linked(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -149,9 +149,8 @@ def one_of_each(df: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> D
     """The rows of ``df`` that stay, all columns as they are.
 
     ``rows`` has (doc_id, sha, copies, stays), a row for each distinct key; of
-    repeated rows with a key that stays, one is kept.  The list of keys to drop is
-    written first, so Spark broadcasts it only if it is under its threshold; the
-    texts are shuffled only beyond that.
+    repeated rows with a key that stays, one is kept.  The list of keys to drop grows
+    with the table, so the texts are shuffled to it, whatever its size.
     """
     drop = written(rows.where("not stays").select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha")), "dropped")
     twins = written(rows.where("stays and copies > 1").select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha")), "twins")
@@ -159,7 +158,7 @@ def one_of_each(df: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> D
     def same(keys: DataFrame) -> Column:
         return df[id_col].cast("long").eqNullSafe(keys["_id"]) & (sha(df[text_col]) == keys["_sha"])
 
-    kept = df.join(drop, same(drop), "left_anti")
+    kept = df.join(drop.hint("merge"), same(drop), "left_anti")
     if twins.isEmpty():
         return kept
     single = df.join(twins, same(twins), "left_semi")

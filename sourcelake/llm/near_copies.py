@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sourcelake.llm import simhash
 from sourcelake.llm.common import chunks, cut, id_text, in_batches, map_texts, sha, written
 from sourcelake.llm.components import components
 from sourcelake.llm.simhash import SEED, keep_first, shingles
@@ -90,7 +91,7 @@ def similar(df: DataFrame, pairs: DataFrame, words: int, text_col: str) -> DataF
                 yield pa.RecordBatch.from_arrays([names.slice(lo, hi - lo), pa.array(found, pa.list_(pa.int64()))], names=["node", "found"])
 
     wanted = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
-    texts = df.select(node(sha(df[text_col])).alias("node"), F.coalesce(df[text_col], F.lit("")).alias("text")).join(wanted, "node", "left_semi")
+    texts = df.select(node(sha(df[text_col])).alias("node"), F.coalesce(df[text_col], F.lit("")).alias("text")).join(wanted.hint("merge"), "node", "left_semi")
     sets = cut(in_batches(texts).mapInArrow(run, "node binary, found array<long>").groupBy("node").agg(F.first("found").alias("found")))
     one = cut(pairs.join(sets.select(F.col("node").alias("a"), F.col("found").alias("left")), "a"))
     both = one.join(sets.select(F.col("node").alias("b"), F.col("found").alias("right")), "b")
@@ -98,8 +99,18 @@ def similar(df: DataFrame, pairs: DataFrame, words: int, text_col: str) -> DataF
     return both.where(shared * 9 >= (F.size("left") + F.size("right")) * 4).select("a", "b")
 
 
-def links(df: DataFrame, prints: DataFrame, words: int, text_col: str) -> DataFrame:
-    """(a, b): enough pairs of similar nodes to connect all that are connected by similar pairs of a common bucket."""
+def fingerprint_links(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(a, b): the nodes of each group of ``simhash.grouped``, linked to the group's smallest one."""
+    rows = cut(simhash.grouped(df, 3, id_col, text_col).select(F.col("root").alias("group"), node(F.col("sha")).alias("node")).distinct())
+    lowest = cut(rows.groupBy("group").agg(F.min("node").alias("a")))
+    return cut(rows.join(lowest, "group").where("a < node").select("a", F.col("node").alias("b")).distinct())
+
+
+def links(df: DataFrame, prints: DataFrame, words: int, text_col: str, known: DataFrame | None = None) -> DataFrame:
+    """(a, b): enough pairs of similar nodes to connect all that are connected by similar pairs of a common bucket.
+
+    ``known`` links are among them, and what they connect is not compared again.
+    """
     members = cut(prints.select(F.explode("keys").alias("key"), "node", "n"))
     ends = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"), F.max("node").alias("last"))
     leads = written(ends.where(F.col("lead")["node"] < F.col("last")).select("key", "lead"), "leads")
@@ -108,6 +119,8 @@ def links(df: DataFrame, prints: DataFrame, words: int, text_col: str) -> DataFr
     to_lead = met.where((F.col("node") != lead["node"]) & sizes_fit(F.col("n"), lead["n"]))
     tried = cut(to_lead.select(lead["node"].alias("a"), F.col("node").alias("b")).distinct())
     found = cut(similar(df, tried, words, text_col))
+    if known is not None:
+        found = cut(found.union(known))
     # buckets whose members are not all connected yet: each pair of different groups
     roots = components(found)
     grouped = cut(met.distinct().join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")))
@@ -119,17 +132,22 @@ def links(df: DataFrame, prints: DataFrame, words: int, text_col: str) -> DataFr
     return found.union(similar(df, left, words, text_col))
 
 
-def grouped(df: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, sha, root) of every row: rows with one root are connected by links.
+def grouped(df: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", known: DataFrame | None = None) -> DataFrame:
+    """(doc_id, sha, root) of every row: rows with one root are connected by links, ``known`` ones too.
 
     Texts without words are one group.  Words are lower-cased in A-Z only and
     split as in ``simhash``; a text of fewer words than a shingle is one shingle.
     """
     prints = cut(signatures(df, words, id_col, text_col))
-    roots = components(links(df, prints, words, text_col))
+    roots = components(links(df, prints, words, text_col, known))
     return prints.join(roots, "node", "left").select("doc_id", "sha", F.coalesce("root", "node").alias("root"))
 
 
 def drop_near_copies(df: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group, all columns as they are: that with the smallest id (then digest; null ids last)."""
     return keep_first(df, grouped(df, words, id_col, text_col), id_col, text_col)
+
+
+def drop_linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``drop_near_copies`` after ``simhash``: groups are connected by fingerprints at most two bits apart, and by similar texts."""
+    return keep_first(df, grouped(df, WORDS, id_col, text_col, fingerprint_links(df, id_col, text_col)), id_col, text_col)

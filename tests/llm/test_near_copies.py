@@ -60,3 +60,17 @@ def test_stage_drops_near_copies(spark, tmp_path):
     assert bin(simhash.fingerprint(rows[0][1]) ^ simhash.fingerprint(rows[1][1])).count("1") > 2
     stage = dict(corpus_pipeline.STAGES)["simhash"]
     assert sorted(r["doc_id"] for r in stage(spark, frame(spark, rows), str(tmp_path)).collect()) == [7, 9]
+
+
+def test_stage_goes_by_fingerprints_too(spark, tmp_path):
+    """Of texts in one two-bit group but under a similarity of 0.8, one stays."""
+    import corpus_pipeline
+
+    from sourcelake.llm import simhash
+
+    body = "red green blue " * 200
+    rows = [(3, body + "one two"), (4, "nine ten eight " + body), (9, "something else entirely is written in this one")]
+    assert bin(simhash.fingerprint(rows[0][1]) ^ simhash.fingerprint(rows[1][1])).count("1") <= 2
+    assert kept_by_pairs(rows) == {3, 4, 9}
+    stage = dict(corpus_pipeline.STAGES)["simhash"]
+    assert sorted(r["doc_id"] for r in stage(spark, frame(spark, rows), str(tmp_path)).collect()) == [3, 9]
