@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import gc
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -203,61 +204,37 @@ def blocks(df: DataFrame, key: str, columns: list[str]):
         yield [got.column(c).combine_chunks().to_numpy(zero_copy_only=False) if got.num_rows else np.zeros(0) for c in [key, *columns]]
 
 
-def add_grams(df: DataFrame, block, depth: int) -> DataFrame:
-    """``df`` with a block's log-probabilities added to ``score``."""
-    shared = df.sparkSession.sparkContext.broadcast(block)
+def add_scores(df: DataFrame, counts: Iterator, model: Iterator, depth: int) -> DataFrame:
+    """``df`` with the log-probabilities of ``model`` added to ``score``, and the words of ``counts`` to ``n_known`` and ``known_log``.
 
-    def run(batches):
-        code, logp = shared.value
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text"))
-            score = batch.column(batch.schema.get_field_index("score")).to_numpy().copy()
-            for lo, hi in chunks([x or 0 for x in pa.compute.binary_length(texts).to_pylist()], AT_ONCE):
-                found, sizes = grams(texts.slice(lo, hi - lo).to_pylist(), depth)
-                own, back = np.unique(found, return_inverse=True)
-                if len(code):
-                    at = np.minimum(np.searchsorted(code, own), len(code) - 1)
-                    value = np.where(code[at] == own, logp[at], 0.0)[back]
-                    score[lo:hi] += np.add.reduceat(value, np.cumsum(sizes) - sizes)
-            yield batch.set_column(batch.schema.get_field_index("score"), "score", pa.array(score))
-
-    import pyarrow.compute  # noqa: F401
-
-    return df.mapInArrow(run, df.schema)
-
-
-def add_words(df: DataFrame, block) -> DataFrame:
-    """``df`` with a block's words added to ``n_known`` and ``known_log``, the sum of log10(c + 0.5)."""
-    shared = df.sparkSession.sparkContext.broadcast(block)
+    All blocks are applied in one Python worker a task: a worker for each block
+    would hold a Python, and the texts, for each of them.
+    """
+    context = df.sparkSession.sparkContext
+    words_of, grams_of = [context.broadcast(b) for b in counts], [context.broadcast(b) for b in model]
 
     def run(batches):
-        one, two, n = shared.value
-        log = np.log10(n + 0.5)
-        # entries with equal first halves, if there are any, lie side by side
-        run_length = 1
-        while len(one) > run_length and (one[run_length:] == one[:-run_length]).any():
-            run_length += 1
+        known_words, known_grams = [word_block(b.value) for b in words_of], [b.value for b in grams_of]
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
-            known = batch.column(batch.schema.get_field_index("n_known")).to_numpy().copy()
-            total = batch.column(batch.schema.get_field_index("known_log")).to_numpy().copy()
+            new = {name: batch.column(batch.schema.get_field_index(name)).to_numpy().copy() for name in ("n_known", "known_log", "score")}
             for lo, hi in chunks([x or 0 for x in pa.compute.binary_length(texts).to_pylist()], AT_ONCE):
-                split = [words(t) for t in texts.slice(lo, hi - lo).to_pylist()]
+                part = texts.slice(lo, hi - lo).to_pylist()
+                split = [words(t) for t in part]
                 own = list(set().union(*split))
                 a, b = keys(own)
-                value = np.full(len(own), np.nan)
-                at = np.searchsorted(one, a)
-                for k in range(run_length):
-                    j = np.minimum(at + k, max(len(one) - 1, 0))
-                    hit = (one[j] == a) & (two[j] == b) if len(one) else np.zeros(len(own), dtype=bool)
-                    value[hit] = log[j[hit]]
-                table = {w: v for w, v in zip(own, value.tolist(), strict=True) if v == v}
-                get = table.get
-                for k, ws in enumerate(split, lo):
-                    vs = [v for w in ws if (v := get(w)) is not None]
-                    known[k] += len(vs)
-                    total[k] += math.fsum(vs)
-            for name, x in (("n_known", known), ("known_log", total)):
+                for block in known_words:
+                    add_words(split, own, a, b, block, new["n_known"][lo:hi], new["known_log"][lo:hi])
+                del split, own, a, b
+                found, sizes = grams(part, depth)
+                gram, back = np.unique(found, return_inverse=True)
+                value = np.zeros(len(gram))
+                for code, logp in known_grams:
+                    if len(code):
+                        at = np.minimum(np.searchsorted(code, gram), len(code) - 1)
+                        value += np.where(code[at] == gram, logp[at], 0.0)
+                new["score"][lo:hi] += np.add.reduceat(value[back], np.cumsum(sizes) - sizes)
+            for name, x in new.items():
                 batch = batch.set_column(batch.schema.get_field_index(name), name, pa.array(x))
             yield batch
 
@@ -266,6 +243,32 @@ def add_words(df: DataFrame, block) -> DataFrame:
     return df.mapInArrow(run, df.schema)
 
 
+def word_block(block) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """A block's keys, the logarithms of its counts, and how many entries with equal first halves, if there are any, lie side by side."""
+    one, two, n = block
+    run_length = 1
+    while len(one) > run_length and (one[run_length:] == one[:-run_length]).any():
+        run_length += 1
+    return one, two, np.log10(n + 0.5), run_length
+
+
+def add_words(split: list[list[bytes]], own: list[bytes], a: np.ndarray, b: np.ndarray, block, known: np.ndarray, total: np.ndarray) -> None:
+    """Adds a block's words to ``known`` and the sum of their log10(c + 0.5) to ``total``; ``a``, ``b``: the keys of the distinct words ``own``."""
+    one, two, log, run_length = block
+    value = np.full(len(own), np.nan)
+    at = np.searchsorted(one, a)
+    for k in range(run_length):
+        j = np.minimum(at + k, max(len(one) - 1, 0))
+        hit = (one[j] == a) & (two[j] == b) if len(one) else np.zeros(len(own), dtype=bool)
+        value[hit] = log[j[hit]]
+    table = {w: v for w, v in zip(own, value.tolist(), strict=True) if v == v}
+    get = table.get
+    for k, ws in enumerate(split):
+        vs = [v for w in ws if (v := get(w)) is not None]
+        known[k] += len(vs)
+        total[k] += math.fsum(vs)
+
+
 def score(df: DataFrame, depth: int = DEPTH, held_parts: int = 5, held_part: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
@@ -280,10 +283,8 @@ def score(df: DataFrame, depth: int = DEPTH, held_parts: int = 5, held_part: int
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     model = written(gram_scores(gram_counts(docs, depth), depth), "model")
     out = docs.select("doc_id", "text", "train", F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("known_log"), F.lit(0.0).alias("score"))
-    for block in blocks(counts, "one", ["two", "n"]):
-        out = add_words(out, block)
-    for block in blocks(model, "gram", ["logp"]):
-        out = add_grams(out, block, depth)
+    # one block at a time is on the driver: each is handed over as it comes
+    out = add_scores(out, blocks(counts, "one", ["two", "n"]), blocks(model, "gram", ["logp"]), depth)
     n_tokens = F.size(F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")) + 1
     out = out.withColumn("n_tokens", n_tokens.cast("long"))
     base = F.col("known_log") + (F.col("n_tokens") - F.col("n_known")) * math.log10(0.5) - F.col("n_tokens") * math.log10(total["n"] + 0.5 * (total["v"] + 1))

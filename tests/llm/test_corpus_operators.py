@@ -260,3 +260,10 @@ def test_entry_without_llm(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
     assert importlib.util.find_spec("sourcelake.llm")
+
+
+def test_blocks_share_a_worker(spark, monkeypatch):
+    """A task has one Python for all blocks of the model and of the words."""
+    monkeypatch.setattr(context_tree, "BLOCK_ENTRIES", 40)
+    scored = context_tree.score(frame(spark, [(i, f"some words {i} of a text {i * 7}") for i in range(30)]), 2)
+    assert scored._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
