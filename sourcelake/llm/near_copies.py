@@ -109,7 +109,7 @@ def fingerprint_links(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def links(df: DataFrame, prints: DataFrame, words: int, text_col: str, known: DataFrame | None = None) -> DataFrame:
     """(a, b): enough pairs of similar nodes to connect all that are connected by similar pairs of a common bucket.
 
-    ``known`` links are among them, and what they connect is not compared again.
+    ``known`` links are among them; members of a bucket that they connect are left out of the comparison of all pairs.
     """
     members = cut(prints.select(F.explode("keys").alias("key"), "node", "n"))
     ends = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"), F.max("node").alias("last"))
