@@ -91,3 +91,29 @@ def test_placeholders(spark):
     dropped = ['password = "<secret>"', 'password = "{value}"', 'password = "<x<>"', 'password = "<<>"', 'password = "{a{}"']
     files = spark.createDataFrame([(x, "kotlin", x) for x in kept + dropped], "path string, language string, text string")
     assert {r["path"] for r in security.security_findings(files).collect()} == set(kept)
+
+
+def test_texts_are_dealt_out(spark, tmp_path):
+    """Tables of one row group each: their texts go to all cores, and each is there once."""
+    from sourcelake import registry
+
+    rows = range(40)
+    spark.createDataFrame([(i, f"open\n{i}", "en") for i in rows], "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, "<p>a</p>") for i in rows], "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(i, 0, "user", None) for i in rows], "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    texts = registry.texts(spark, str(tmp_path))
+    assert texts.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    kept = texts.collect()
+    assert len({r["path"] for r in kept}) == len(kept) == 120 and sum(r["text"] is None for r in kept) == 40
+    placed = {r[0] for r in texts.selectExpr("spark_partition_id()").collect()}
+    assert len(placed) == texts.rdd.getNumPartitions()
+
+
+def test_texts_without_a_trigger_are_not_split(spark):
+    """Rules on lines around find what they found, in texts and in lines."""
+    rows = ["val a = new  Random()", "java.util.Random", "SAXParserFactory . newInstance ( )", '@Controller\n@RequestMapping("/")', "Random words", None]
+    want = {("f0.java", "INSECURE_RANDOM"), ("f1.java", "INSECURE_RANDOM"), ("f2.java", "XXE"), ("f3.java", "MISSING_AUTH")}
+    df = files(spark, rows)
+    assert {(r["path"], r["type"]) for r in security.context_findings(df).collect()} == want
+    lines = df.selectExpr("path", "language", "coalesce(split(text, '\\n'), array()) as lines")
+    assert {(r["path"], r["type"]) for r in security.context_findings(lines).collect()} == want
