@@ -39,3 +39,32 @@ def test_gathered(spark):
     ruled = spark.createDataFrame([("b", 2, "R", "INFO", 0.5, "m", "f")], "path string, line_no int, rule_id string, severity string, confidence double, message string, fix string")
     rows = {tuple(r) for r in project.gathered({"A": typed, "B": ruled}).collect()}
     assert rows == {("A", "a", 1, "T", "INFO", 0.5, "m", None), ("B", "b", 2, "R", "INFO", 0.5, "m", "f")}
+
+
+def test_files_are_scanned_once(spark, tmp_path, monkeypatch):
+    """Patterns, cycles and coupling read one scan of the files, and find what they find alone."""
+    from sourcelake import code_queries, memory_queries, pattern_queries, project_queries
+    from sourcelake.operators import scan
+
+    spark.createDataFrame([(k, k % 7) for k in range(60)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    alone = {"Architecture": pattern_queries.pattern_findings, project.CIRCULAR: code_queries.cycle_findings, "Coupling": code_queries.coupling_findings}
+    want = {c: f(spark, str(tmp_path)).count() for c, f in alone.items()}
+    none = spark.createDataFrame([], "path string, line_no int, type string, severity string, confidence double, message string")
+    for module, name in ((memory_queries, "memory_findings"), (code_queries, "dead_code"), (code_queries, "call_findings")):
+        monkeypatch.setattr(module, name, lambda *_: none)
+    scans, real = [], scan.scan_files
+    monkeypatch.setattr(scan, "scan_files", lambda files: scans.append(1) or real(files))
+    found = project_queries.project_findings(spark, str(tmp_path))
+    got = {r["category"]: r["count"] for r in found.groupBy("category").count().collect()}
+    assert len(scans) == 1 and {c: got.get(c, 0) for c in want} == want and sum(want.values()) > 0
+
+
+def test_trim(spark):
+    """Blanks between other white space go as well."""
+    from pyspark.sql import functions as F
+
+    from sourcelake.functions import text as tx
+
+    rows = ["", " ", " \t 　 a b \x1c ", "\t a", "a \xa0 ", None, "  x  "]
+    df = spark.createDataFrame([(t,) for t in rows], "t string")
+    assert [r[0] for r in df.select(tx.trim(F.col("t"))).collect()] == [t if t is None else t.strip(tx.WHITESPACE) for t in rows]
