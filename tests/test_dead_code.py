@@ -110,3 +110,33 @@ def test_texts(spark):
 
 def test_nothing(spark):
     assert deadcode.dead_code(spark.createDataFrame([], "path string, language string, text string")).collect() == []
+
+
+def test_no_line_is_written_or_shuffled(spark):
+    """One pass over the files: what the old joins shuffled and wrote, a row a line and a row a word, outgrew the disk."""
+    import os
+
+    from sourcelake.session import shared_folder
+
+    folder = shared_folder(spark)
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    files = spark.createDataFrame([("a.kt", "kotlin", METHODS), ("b.kt", "kotlin", CATCHES)], "path string, language string, text string").repartition(3, "path")
+    rows = deadcode.dead_code(files)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    assert len(rows.collect()) > 5
+    assert (set(os.listdir(folder)) if os.path.isdir(folder) else set()) == before
+
+
+def test_odd_files(spark):
+    """A path that comes twice has its lines twice; without a path no name is found again; words and blanks beyond ASCII."""
+    schema = "path string, language string, text string"
+    once = [("a.kt", "kotlin", "val alone = 1\nreturn\nval next = 2")]
+    got = lambda rows: sorted((r["type"], r["line_no"], r["name"]) for r in deadcode.dead_code(spark.createDataFrame(rows, schema)).collect())
+    dead = ("UNREACHABLE_CODE", 3, "val next = 2")
+    assert got(once) == [dead, ("UNUSED_VARIABLE", 1, "alone"), ("UNUSED_VARIABLE", 3, "next")]
+    assert got(once + once) == [("UNREACHABLE_CODE", 2, "return"), dead]  # each name is on two lines
+    text = "import a.Used\nprivate fun f() { }\nf() + Used()"
+    assert got([("b.kt", "kotlin", text)]) == [("EMPTY_METHOD", 2, "f")]
+    assert got([(None, "kotlin", text)]) == [("UNUSED_IMPORT", 1, "a.Used"), ("UNUSED_PRIVATE_METHOD", 2, "f")]
+    assert got([("c.kt", None, "private fun f() { \xa0 }\néf()\n　return\n　x")]) == [("EMPTY_METHOD", 1, "f"), ("UNREACHABLE_CODE", 4, "x"), ("UNUSED_PRIVATE_METHOD", 1, "f")]
