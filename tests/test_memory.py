@@ -87,3 +87,31 @@ def test_lines_are_held_in_columns(spark):
     files = spark.createDataFrame([("A.kt", "kotlin", "val a = 1\n" * 50)], "path string, language string, text string")
     plan = memory.memory_findings(files)._jdf.queryExecution().executedPlan().toString()
     assert "ExistingRDD" not in plan and "parquet" in plan.lower()
+
+
+def test_only_findings_are_written(spark):
+    """One pass over the files: lines were written, read back and shuffled for each join before."""
+    import os
+
+    from sourcelake.session import shared_folder
+
+    folder = shared_folder(spark)
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    files = spark.createDataFrame([("a.kt", "kotlin", LEAKS), ("b.kt", "kotlin", LOOPS)], "path string, language string, text string").repartition(3, "path")
+    rows = memory.memory_findings(files)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    new = [f for f in os.listdir(folder) if f not in before]
+    assert len(new) == 1 and spark.read.parquet(f"{folder}/{new[0]}").count() == rows.count() > 5
+
+
+def test_odd_files(spark):
+    """A path that comes twice has its lines twice; without a path nothing is closed and no collection is added to."""
+    schema = "path string, language string, text string"
+    got = lambda rows: sorted((r["type"], r["line_no"]) for r in memory.memory_findings(spark.createDataFrame(rows, schema)).collect())
+    text = "val a = FileReader(x)\na.close()\ncompanion val b = ArrayList()\nb.add(1)\nfor (i in x) {\n  s += \"x\"\n}"
+    loop = ("STRING_CONCAT_IN_LOOP", 6)
+    assert got([("a.kt", "kotlin", text)]) == [("STATIC_COLLECTION_GROWTH", 3), loop]
+    assert got([("a.kt", "kotlin", text)] * 2) == [("STATIC_COLLECTION_GROWTH", 3), loop, loop]
+    assert got([(None, "kotlin", text)]) == [("RESOURCE_LEAK", 1), loop]
+    assert got([("a.kt", None, "　finally {\n\xa0x.close()\nx = Socket(1)")]) == [("RESOURCE_LEAK", 3)]
