@@ -1,16 +1,22 @@
 """Method extraction and cyclomatic / cognitive complexity, inside the row.
 
 Methods are found greedily: a declaration opens a method, and scanning resumes
-after the method's last line.  Two ordered folds over the file's lines do that
-in linear time: a backward one finds the declarations whose braces never
-close, a forward one walks the rest.
+after the method's last line.  Two walks over the file's lines do that in linear
+time, in an Arrow function: a backward one finds the declarations whose braces
+never close, a forward one goes through the rest.  Only lines of methods are scored.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sourcelake.functions import rows as rw
 from sourcelake.functions import text as tx
 
 # Keyword sets.  Short ones count every occurrence, longer ones once per line.
@@ -37,25 +43,6 @@ DECLARATIONS = (
 )
 
 
-def declaration(line: Column) -> Column:
-    """struct<name, params> of the method a trimmed line declares, or null."""
-    skipped = tx.starts_any(line, NOT_DECLARING)
-    options = []
-    for pattern in DECLARATIONS:
-        name = tx.extract(line, pattern, 1)
-        options.append(
-            F.when((name != "") & ~name.isin(*NOT_METHODS), F.struct(name.alias("name"), tx.extract(line, pattern, 2).alias("params")))
-        )
-    possible = line.contains("(") | line.contains("def")
-    return F.when(possible & ~skipped, F.coalesce(*options))
-
-
-def parameter_count(params: Column) -> Column:
-    cleaned = F.regexp_replace(tx.trim(params), r"^\s*self\s*,?\s*", "")
-    cleaned = F.regexp_replace(cleaned, r"^\s*this\s*,?\s*", "")
-    return F.size(F.filter(F.split(cleaned, ","), lambda p: tx.trim(p) != ""))
-
-
 # -- per-line scores --------------------------------------------------------
 
 def mask_strings(line: Column) -> Column:
@@ -112,11 +99,9 @@ def line_scores(lines: Column) -> Column:
         flat = ~x["tries"] & ~nests & x["flat"]
         return F.struct(
             (i + 1).cast("int").alias("n"),
-            declaration(x["t"]).alias("decl"),
             tx.count_of(x["l"], "{").alias("opens"),
             tx.count_of(x["l"], "}").alias("closes"),
             tx.brace_low(x["l"]).alias("low"),
-            (x["t"] == "").alias("blank"),
             tx.indent(x["l"]).alias("indent"),
             branch_points(x["low"]).alias("branches"),
             F.when(~x["skip"] & nests, 1).otherwise(0).alias("nest_hit"),
@@ -160,138 +145,150 @@ def max_nesting(scores: Column) -> Column:
 
 # -- greedy extraction ------------------------------------------------------
 
-_SPANS = "array<struct<start:int,end:int,name:string,params:string>>"
-
-
-def _unclosed(scores: Column) -> Column:
+#: Declarations with a text that every match holds: lines without it are not tried.
+_DECLARES = tuple(zip(("(", "def", "func", "def", "fn", "function"), map(rw.Expression, DECLARATIONS), strict=True))
+_SELF, _THIS = rw.Expression(r"^\s*self\s*,?\s*"), rw.Expression(r"^\s*this\s*,?\s*")
+_ESCAPED, _QUOTED = re.compile(r"(?<=\\)[\"']"), re.compile(r"""\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)""")
+_BRANCHES = tuple((w, rw.Expression(_word(w))) for w in BRANCH_WORDS)
+_TRY, _NESTS, _FLAT = (rw.Expression(_word("(?:" + "|".join(w) + ")")) for w in (("try",), NESTING_WORDS, FLAT_WORDS))
+#: Every word that nests holds one of these.
+_NESTS_IN = tuple(w for w in NESTING_WORDS if not any(v in w and v != w for v in NESTING_WORDS))
+COMMENTS = ("//", "#", "*")
+FOUND = pa.schema([
+    ("path", pa.string()), ("language", pa.string()), ("name", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("line_count", pa.int32()), ("param_count", pa.int32()),
+    ("cyclomatic", pa.int32()), ("cognitive", pa.int32()),
+])
+
+
+class Line(NamedTuple):
+    n: int
+    line: str
+    t: str
+    opens: int
+    net: int
+    declares: tuple[str, str] | None
+
+
+class Span(NamedTuple):
+    start: int
+    end: int
+    name: str
+    params: str
+
+
+def declared(line: str) -> tuple[str, str] | None:
+    """Name and parameters of the method that a trimmed line declares."""
+    if line.startswith(NOT_DECLARING) or not ("(" in line or "def" in line):
+        return None
+    for held, pattern in _DECLARES:
+        if held in line:
+            found = pattern.groups(line)
+            if found and found[0] and found[0] not in NOT_METHODS:
+                return found[0], found[1]
+    return None
+
+
+def parameter_count(params: str) -> int:
+    cleaned = _THIS.replaced(_SELF.replaced(params.strip(tx.WHITESPACE), ""), "")
+    return sum(p.strip(tx.WHITESPACE) != "" for p in cleaned.split(","))
+
+
+def unclosed(lines: list[Line]) -> set[int]:
     """Lines of declarations whose block never returns to its own depth.
 
-    Backward recurrence: ``low`` is the least balance reached from a line on,
-    ``since_open`` the same but only from the next '{' on.
+    ``low`` is the least balance reached from a line on, ``since`` the same but
+    only from the next '{' on.
     """
-    far = F.lit(None).cast("int")  # least() passes over it
-
-    def step(acc, s):
-        net = s["opens"] - s["closes"]
-        low = net + F.least(F.lit(0), acc["low"])
-        since = F.when(s["opens"] > 0, low).otherwise(net + acc["since_open"])
-        return {
-            "low": low,
-            "since_open": since,
-            "open": F.when(s["decl"].isNotNull() & F.coalesce(since > 0, F.lit(True)), F.concat(acc["open"], F.array(s["n"]))).otherwise(acc["open"]),
-        }
-
-    start = {"low": F.lit(0), "since_open": far, "open": F.array().cast("array<int>")}
-    return tx.struct_fold(F.reverse(scores), start, step, "open")
-
-
-def _brace_spans(scores: Column, unclosed: Column, line_count: Column) -> Column:
-    def step(acc, s):
-        net = s["opens"] - s["closes"]
-        begins = s["decl"].isNotNull() & ~acc["active"] & (s["n"] >= acc["resume"])
-        stub = begins & F.array_contains(unclosed, s["n"])
-        live = acc["active"] | (begins & ~stub)
-        depth = F.when(acc["active"], acc["depth"]).otherwise(0) + net
-        opened = (acc["active"] & acc["opened"]) | (s["opens"] > 0)
-        ends = live & opened & (depth <= 0)
-        start = F.when(acc["active"], acc["start"]).otherwise(s["n"])
-        decl_name = F.when(acc["active"], acc["name"]).otherwise(s["decl"]["name"])
-        decl_params = F.when(acc["active"], acc["params"]).otherwise(s["decl"]["params"])
-        stub_end = F.least(s["n"] + 1, line_count)
-        end = F.when(stub, stub_end).otherwise(s["n"])
-        span = F.struct(
-            start.cast("int").alias("start"), end.cast("int").alias("end"), decl_name.alias("name"), decl_params.alias("params")
-        )
-        return {
-            "active": live & ~ends,
-            "opened": opened & live & ~ends,
-            "depth": F.when(live & ~ends, depth).otherwise(0),
-            "start": start.cast("int"),
-            "name": decl_name,
-            "params": decl_params,
-            "resume": F.when(stub, stub_end + 1).otherwise(acc["resume"]),
-            "out": F.when(ends | stub, F.concat(acc["out"], F.array(span).cast(_SPANS))).otherwise(acc["out"]),
-        }
-
-    start = {
-        "active": F.lit(False), "opened": F.lit(False), "depth": F.lit(0), "start": F.lit(0),
-        "name": F.lit(None).cast("string"), "params": F.lit(None).cast("string"), "resume": F.lit(1),
-        "out": F.array().cast(_SPANS),
-    }
-    return tx.struct_fold(scores, start, step, "out")
-
-
-def _indent_spans(scores: Column, line_count: Column) -> Column:
+    low, since, found = 0, None, set()
+    for x in reversed(lines):
+        low = x.net + min(0, low)
+        since = low if x.opens else None if since is None else x.net + since
+        if x.declares and (since is None or since > 0):
+            found.add(x.n)
+    return found
+
+
+def brace_spans(lines: list[Line]) -> Iterator[Span]:
+    never, begun, depth, opened, resume = unclosed(lines), None, 0, False, 1
+    for x in lines:
+        if begun is None:
+            if not x.declares or x.n < resume:
+                continue
+            if x.n in never:
+                resume = min(x.n + 1, len(lines)) + 1
+                yield Span(x.n, resume - 1, *x.declares)
+                continue
+            begun, depth, opened = x, 0, False
+        depth, opened = depth + x.net, opened or x.opens > 0
+        if opened and depth <= 0:
+            yield Span(begun.n, x.n, *begun.declares)
+            begun = None
+
+
+def indent_of(line: str) -> int:
+    return len(line) - len(line.lstrip(tx.WHITESPACE))
+
+
+def indent_spans(lines: list[Line]) -> Iterator[Span]:
     """A method ends before the next non-blank line that is not deeper.
 
     That line is examined again as a possible declaration itself.
     """
-    def step(acc, s):
-        ends = acc["active"] & ~s["blank"] & (s["indent"] <= acc["indent"])
-        begins = (~acc["active"] | ends) & s["decl"].isNotNull()
-        closed = F.struct(
-            acc["start"].alias("start"), (s["n"] - 1).cast("int").alias("end"), acc["name"].alias("name"), acc["params"].alias("params")
-        )
-        return {
-            "active": (acc["active"] & ~ends) | begins,
-            "indent": F.when(begins, s["indent"]).otherwise(acc["indent"]),
-            "start": F.when(begins, s["n"]).otherwise(acc["start"]),
-            "name": F.when(begins, s["decl"]["name"]).otherwise(acc["name"]),
-            "params": F.when(begins, s["decl"]["params"]).otherwise(acc["params"]),
-            "out": F.when(ends, F.concat(acc["out"], F.array(closed).cast(_SPANS))).otherwise(acc["out"]),
-        }
-
-    names = ["active", "indent", "start", "name", "params", "out"]
-    init = F.struct(
-        F.lit(False).alias("active"), F.lit(0).alias("indent"), F.lit(0).alias("start"),
-        F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("params"),
-        F.array().cast(_SPANS).alias("out"),
-    )
-
-    def advance(acc, s):
-        changed = step(acc, s)
-        return F.struct(*[changed[k].alias(k) for k in names])
-
-    def finish(acc):
-        last = F.struct(
-            acc["start"].alias("start"), line_count.cast("int").alias("end"), acc["name"].alias("name"), acc["params"].alias("params")
-        )
-        return F.when(acc["active"], F.concat(acc["out"], F.array(last).cast(_SPANS))).otherwise(acc["out"])
-
-    return F.aggregate(scores, init, advance, finish)
-
-
-def with_methods(files: DataFrame) -> DataFrame:
-    """Add ``methods`` (array of structs) and ``scores`` to a files frame."""
-    if "methods" in files.columns:
-        return files
-    scored = tx.with_lines(files).withColumn("scores", line_scores(F.col("lines")))
-    scored = scored.withColumn("_unclosed", _unclosed(F.col("scores")))
-    spans = F.when(
-        F.col("language").isin(*INDENT_LANGUAGES), _indent_spans(F.col("scores"), F.size("lines"))
-    ).otherwise(_brace_spans(F.col("scores"), F.col("_unclosed"), F.size("lines")))
-    spanned = scored.withColumn("_spans", spans)
-
-    def measured(s):
-        size = s["end"] - s["start"] + 1
-        body = F.slice(F.col("scores"), s["start"], size)
-        return F.struct(
-            s["name"].alias("name"),
-            s["start"].alias("start_line"),
-            s["end"].alias("end_line"),
-            size.alias("line_count"),
-            parameter_count(s["params"]).alias("param_count"),
-            cyclomatic(body).alias("cyclomatic"),
-            cognitive(body).alias("cognitive"),
-        )
-
-    return spanned.withColumn("methods", F.transform("_spans", measured)).drop("_unclosed", "_spans")
+    begun, indent = None, 0
+    for x in lines:
+        if begun is not None and x.t != "" and indent_of(x.line) <= indent:
+            yield Span(begun.n, x.n - 1, *begun.declares)
+            begun = None
+        if begun is None and x.declares:
+            begun, indent = x, indent_of(x.line)
+    if begun is not None:
+        yield Span(begun.n, len(lines), *begun.declares)
+
+
+def masked(line: str) -> str:
+    """``mask_strings`` of one line."""
+    return _QUOTED.sub('""', _ESCAPED.sub("_", line)) if '"' in line or "'" in line else line
+
+
+def lowest(line: str) -> int:
+    """``text.brace_low`` of one line."""
+    at = low = 0
+    if "}" in line:
+        for c in line:
+            at += (c == "{") - (c == "}")
+            low = min(low, at)
+    return low
+
+
+def complexity(body: list[Line]) -> tuple[int, int]:
+    """Cyclomatic and cognitive complexity of lines, as the scores of columns above."""
+    cyclomatic, cognitive, nest = 1, 0, 0
+    for x in body:
+        low = masked(x.t.lower())
+        if not low.startswith(COMMENTS):
+            cyclomatic += sum(low.count(w) for w in BRANCH_SHORT) + sum(w in low and p.found(low) for w, p in _BRANCHES)
+        if x.t == "" or x.t.startswith(COMMENTS):
+            continue
+        tries = "try" in low and _TRY.found(low)
+        nests = not tries and any(w in low for w in _NESTS_IN) and _NESTS.found(low)
+        flat = not tries and not nests and any(w in low for w in FLAT_WORDS) and _FLAT.found(low)
+        cognitive += (1 + nest if nests else 0) + flat + low.count("&&") + low.count("||")
+        nest = max(nest + x.net, x.net - lowest(x.line))
+    return cyclomatic, cognitive
+
+
+def methods_of(path: str | None, language: str | None, texts: list[str]) -> Iterator[tuple]:
+    lines = []
+    for n, line in enumerate(texts, 1):
+        t, opens = line.strip(tx.WHITESPACE), line.count("{")
+        lines.append(Line(n, line, t, opens, opens - line.count("}"), declared(t)))
+    for s in indent_spans(lines) if language in INDENT_LANGUAGES else brace_spans(lines):
+        yield path, language, s.name, s.start, s.end, s.end - s.start + 1, parameter_count(s.params), *complexity(lines[s.start - 1 : s.end])
 
 
 def method_table(files: DataFrame) -> DataFrame:
     """One row per method."""
-    # filtered behind the generator: a filter on the array would copy all of its expressions
-    return with_methods(files).select("path", "language", F.inline_outer("methods")).where(F.col("start_line") > 0)
+    return rw.each(files, methods_of, FOUND)
 
 
 def file_complexity(files: DataFrame) -> DataFrame:

@@ -136,3 +136,19 @@ def test_lines_are_trimmed_once(spark):
     files = spark.createDataFrame([("a.kt", "kotlin", "class A {\n}")], "path string, language string, text string")
     plan = scan.scan_files(files)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("transform(lines") == 1
+
+
+def test_methods_in_one_pass(spark):
+    """Lines are scored in one function, not in expressions over arrays; odd files keep their rows."""
+    rows = [
+        ("a.kt", "kotlin", "fun open(a: Int) {\nfun shut(b, c) {\n  if (x && y) { for (i in z) { } }\n  else { try { } }\n}\nval s = \"if (\"\nfun last() = 1"),
+        ("a.kt", "kotlin", "fun again(this, d) { }"), ("b.py", "python", "def f(self, a):\n  while a:\n    pass\n\ndef g():\n  # if\n  return 'if'"),
+        (None, None, "void m(int x) {\r\n} "), ("c.kt", "kotlin", None), ("d.kt", "kotlin", ""),
+    ]
+    found = methods.method_table(spark.createDataFrame(rows, "path string, language string, text string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "lambda" not in plan
+    got = sorted((r["path"] or "", r["name"], r["start_line"], r["end_line"], r["param_count"], r["cyclomatic"], r["cognitive"]) for r in found.collect())
+    assert got == [
+        ("", "m", 1, 2, 1, 1, 0), ("a.kt", "again", 1, 1, 1, 1, 0), ("a.kt", "last", 7, 7, 0, 1, 0), ("a.kt", "open", 1, 2, 1, 1, 0), ("b.py", "f", 1, 4, 1, 2, 1), ("b.py", "g", 5, 7, 0, 1, 0),
+    ]
